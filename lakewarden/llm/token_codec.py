@@ -59,7 +59,7 @@ class WordCodec:
         try:
             return b"".join([cache[w] for w in words])
         except KeyError:
-            new = list(set(words) - cache.keys())
+            new = [w for w in set(words) if w not in cache]
             got = dict(zip(new, self._ids([lead + w for w in new]), strict=True))
             if len(cache) < CACHE_WORDS:
                 cache.update(got)
