@@ -43,7 +43,7 @@ def shingle_texts(w: Column, width: int) -> Column:
 def sketches(items: DataFrame, width: int, threshold: float, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, size (distinct shingles), shingles, sketch (hashes); items without a
     shingle, and those with a null id or text, are left out."""
-    base = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"))
+    base = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"), F.monotonically_increasing_id().alias("k"))
     hashed = base.select("item_id", F.array_distinct(shingle_hashes(F.col("w"), width)).alias("h"), shingle_texts(F.col("w"), width).alias("shingles"))
     sized = hashed.withColumn("size", F.size("shingles")).where("size > 0")
     needed = F.ceil(F.col("size") * F.lit(threshold) - 1e-9).cast("int")
@@ -60,22 +60,24 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: floa
     sketched = materialise(sketches(items, width, threshold, item_id_col, item_text_col), "sketches")
     hashes = sketched.select(F.explode("sketch").alias("h"), F.monotonically_increasing_id().alias("k")).groupBy("h").agg(F.count("*").alias("n"))
     size = sketched.agg(F.sum(F.size("sketch")).alias("n")).first()["n"] or 0
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # the row number also keeps the optimiser from moving the words into the lambdas below,
+    # where they would be split again for every shingle
+    base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"), F.monotonically_increasing_id().alias("row"))
     if size <= LITERAL_HASHES:
         known = sorted(r.h for r in hashes.select("h").collect())
-        met = F.array_intersect(shingle_hashes(words(F.col("text")), width), F.lit(known).cast("array<long>") if known else F.array().cast("array<long>"))
-        rows = base.select("doc_id", "text", met.alias("met")).where(F.size("met") > 0)
+        met = F.array_intersect(shingle_hashes(F.col("w"), width), F.lit(known).cast("array<long>") if known else F.array().cast("array<long>"))
+        rows = base.select("doc_id", "row", "w", met.alias("met")).where(F.size("met") > 0)
     else:
-        keyed = materialise(base.withColumn("row", F.monotonically_increasing_id()), "documents")
-        probes = keyed.select("row", F.explode(F.array_distinct(shingle_hashes(words(F.col("text")), width))).alias("h"))
+        keyed = materialise(base, "documents")
+        probes = keyed.select("row", F.explode(F.array_distinct(shingle_hashes(F.col("w"), width))).alias("h"))
         met = probes.join(hashes.select("h"), "h").groupBy("row").agg(F.collect_list("h").alias("met"))
-        rows = keyed.join(met, "row").select("doc_id", "text", "met")
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
+        rows = keyed.join(met, "row").select("doc_id", "row", "w", "met")
+    rows = materialise(rows, "candidates")
     # pairs to verify: ids only, then the texts of both sides
     by_hash = sketched.withColumn("item", F.monotonically_increasing_id())
     by_hash = materialise(by_hash, "items")
     pairs = rows.select("row", F.explode("met").alias("h")).join(by_hash.select("item", F.explode("sketch").alias("h")), "h").select("row", "item").distinct()
-    texts = rows.select("row", "doc_id", shingle_texts(words(F.col("text")), width).alias("own"))
+    texts = rows.select("row", "doc_id", shingle_texts(F.col("w"), width).alias("own"))
     both = pairs.join(by_hash.select("item", "item_id", "size", "shingles"), "item").join(texts, "row")
     shared = both.select("doc_id", "item_id", F.size(F.array_intersect("own", "shingles")).alias("shared"), "size")
     return shared.withColumn("containment", F.col("shared") / F.col("size")).where(F.col("containment") >= threshold - 1e-9)
