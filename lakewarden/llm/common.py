@@ -37,7 +37,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder as Parquet and read again: cuts the lineage."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
