@@ -18,7 +18,9 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a worker's cache; beyond them words are encoded each time.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
+#: Signs that may close a word; they are pre-tokens of their own after a letter.
+TAIL = ".,;:!?"
 
 _TWO_BLANKS = re.compile(r"\s\s")
 _codecs: dict[str, "WordCodec"] = {}
@@ -36,6 +38,8 @@ class WordCodec:
         self.cache: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         # a lower-casing file with word ends drops blanks; a byte-level one keeps them as part of the word
+        self.lower = self._ids(["Ab"]) == self._ids(["ab"])
+        self.tails: dict[str, bytes] = {}
         self.lead = "" if self._ids([" a"]) == self._ids(["a"]) else " "
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -59,12 +63,31 @@ class WordCodec:
         try:
             return b"".join([cache[w] for w in words])
         except KeyError:
-            new = [w for w in set(words) if w not in cache]
-            got = dict(zip(new, self._ids([lead + w for w in new]), strict=True))
-            if len(cache) < CACHE_WORDS:
-                cache.update(got)
+            got = self._learn([w for w in set(words) if w not in cache], cache, lead)
             return b"".join([got[w] if w in got else cache[w] for w in words])
 
+    def _learn(self, new: list[str], cache: dict[str, bytes], lead: str) -> dict[str, bytes]:
+        """Ids of new words: of the bare word, and of the signs that close it."""
+        split = []
+        for w in new:
+            base = w.rstrip(TAIL)
+            if base == w or not base or not base[-1].isalpha():
+                base = w
+            split.append((w, base.lower() if self.lower and base.isascii() else base, w[len(base) :]))
+        bases = list({b for _, b, _ in split if b not in cache})
+        found = dict(zip(bases, self._ids([lead + b for b in bases]), strict=True))
+        tails = list({t for _, _, t in split if t and t not in self.tails})
+        closing = dict(zip(tails, self._ids(tails), strict=True))
+        closing[""] = b""
+        if len(cache) < CACHE_WORDS:
+            cache.update(found)
+        if len(self.tails) < 10_000:
+            self.tails.update(closing)
+        got = {w: (found[b] if b in found else cache[b]) + (closing[t] if t in closing else self.tails[t]) for w, b, t in split}
+        if len(cache) < CACHE_WORDS // 2:
+            cache.update(got)
+        return got
+
 
 def codec(path: str) -> WordCodec:
     """The worker's codec for a file; it lives as long as the worker."""
