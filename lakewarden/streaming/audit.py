@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SCHEMA = T.StructType.fromDDL("ts timestamp, tool string, args string, decision string, layer string, ok boolean, ms double")
+SCHEMA = "ts timestamp, tool string, args string, decision string, layer string, ok boolean, ms double"
 
 
 def append(entries: DataFrame, path: str) -> None:
