@@ -41,16 +41,15 @@ class WordCodec:
         self.lower = self._ids(["Ab"]) == self._ids(["ab"])
         self.tails: dict[str, bytes] = {}
         self.lead = "" if self._ids([" a"]) == self._ids(["a"]) else " "
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
         vocab = self.tokenizer.get_vocab()
         mark = (lambda t: t.startswith("Ġ")) if self.lead else (lambda t: t.endswith("</w>"))
         self.marks = np.zeros(max(vocab.values()) + 1, bool)
         self.marks[[i for t, i in vocab.items() if mark(t)]] = True
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+
     def _ids_of_words(self, words: list[str], lead: str) -> list[bytes]:
         """As ``_ids``, but words of letters alone go through the library in one text: each is
         one pre-token, and its first (or last) id is marked as such in the vocabulary."""
@@ -69,24 +68,34 @@ class WordCodec:
         return [got[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._encode(t) for t in texts]
-
-    def _encode(self, text: str) -> bytes:
+        cut = [self._words(t) for t in texts]
+        lead = self.lead
+        new = {w for c in cut if c for w in c[1] if w not in self.cache}
+        got = self._learn(list(new), self.cache, lead) if new else {}
+        heads = {c[0] for c in cut if c and c[0] is not None and c[0] not in self.firsts}
+        starts = self._learn(list(heads), self.firsts, "") if heads else {}
+        out = []
+        for t, c in zip(texts, cut, strict=True):
+            if c is None:
+                out.append(self._ids([t])[0])
+                continue
+            head, words = c
+            first = b"" if head is None else starts[head] if head in starts else self.firsts[head]
+            try:
+                out.append(first + b"".join([self.cache[w] for w in words]))
+            except KeyError:
+                out.append(first + b"".join([got[w] if w in got else self.cache[w] for w in words]))
+        return out
+
+    def _words(self, text: str) -> tuple[str | None, list[str]] | None:
+        """The first word, where it is encoded without a blank, and the others; None for texts
+        that have to be encoded whole."""
         if not text:
-            return b""
+            return None, []
         if text[0].isspace() or text[-1].isspace() or _TWO_BLANKS.search(text):
-            return self._ids([text])[0]
-        first, *rest = text.split(" ")
-        if self.lead:
-            return self._known([first], self.firsts, "") + self._known(rest, self.cache, self.lead)
-        return self._known([first, *rest], self.cache, "")
-
-    def _known(self, words: list[str], cache: dict[str, bytes], lead: str) -> bytes:
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            got = self._learn([w for w in set(words) if w not in cache], cache, lead)
-            return b"".join([got[w] if w in got else cache[w] for w in words])
+            return None
+        words = text.split(" ")
+        return (words[0], words[1:]) if self.lead else (None, words)
 
     def _learn(self, new: list[str], cache: dict[str, bytes], lead: str) -> dict[str, bytes]:
         """Ids of new words: of the bare word, and of the signs that close it."""
