@@ -555,3 +555,31 @@ def plan_scores(spark, sf_dir):
 
     asked = spark.createDataFrame([("total order amount",)], "question string")
     return score(asked, *_shop(spark)).select("table", F.col("score").cast("int").alias("score"))
+
+
+CHANGES = """
+CREATE TABLE shop.coupons (code TEXT, owner_id BIGINT, note TEXT, kind TEXT);
+COMMENT ON TABLE shop.coupons IS 'coupons'; COMMENT ON COLUMN shop.coupons.code IS 'code, standard: DS-7';
+ALTER TABLE shop.orders ADD COLUMN channel TEXT NOT NULL;
+ALTER TABLE shop.orders DROP COLUMN legacy;
+DROP TABLE shop.old;
+DELETE FROM shop.carts WHERE id < 5;
+"""
+
+
+@query("review_change_script", _values([("table-must-have-primary-key", 1, 1), ("table-must-have-comment", 1, 0), ("table-comment-states-role", 1, 1), ("column-must-have-comment", 5, 4), ("column-comment-cites-standard", 1, 0), ("no-drop-table", 1, 1), ("no-drop-column", 1, 1), ("update-or-delete-needs-a-where", 0, 0), ("no-truncate", 0, 0), ("new-not-null-column-needs-a-default", 1, 1)], ["rule", "matched", "fired"]))
+def review_change_script(spark, sf_dir):
+    from .operators.review import review_scripts
+    from .packs import default_packs
+
+    scripts = spark.createDataFrame([("change", CHANGES)], "script_id string, sql string")
+    applied, _ = review_scripts(scripts, default_packs("ddl"))
+    return applied.select("rule", F.col("matched").cast("int").alias("matched"), F.col("fired").cast("int").alias("fired"))
+
+
+@query("pack_examples", "SELECT pack, CAST(wrong AS BIGINT) AS wrong FROM (VALUES ('table-hygiene', 0), ('change-review', 0), ('index-hygiene', 0)) AS v(pack, wrong)")
+def pack_examples(spark, sf_dir):
+    from .operators.review import verify_pack
+    from .packs import PACKS
+
+    return spark.createDataFrame([(n, len(verify_pack(spark, p))) for n, p in PACKS.items()], "pack string, wrong long")
