@@ -142,9 +142,10 @@ def _search(k: int, with_threshold: bool):
                 q, x = _load(r.q_vecs, len(qid)), _load(r.vecs, len(vid))
                 scores = q @ x.T
                 floor = np.frombuffer(r.floor) if with_threshold else np.full(len(qid), -np.inf)
+                last = np.frombuffer(r.last, np.int64) if with_threshold else np.zeros(len(qid), np.int64)
                 out = []
                 for i in np.flatnonzero(scores.max(axis=1) >= floor):
-                    ok = (scores[i] >= floor[i]) & (vid != qid[i])
+                    ok = ((scores[i] > floor[i]) | (scores[i] == floor[i]) & (vid < last[i])) & (vid != qid[i])
                     ids, own = vid[ok], scores[i][ok]
                     at = _best(ids, own, k)
                     out.append(pd.DataFrame({"qb": r.qb, "query_id": qid[i], "vec_id": ids[at], "score": own[at].astype(np.int64)}))
@@ -200,19 +201,21 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS
     blocks = index.select("id", "ids", "vecs")
     seeds = materialise(seeds, "seeds")
     found = materialise(seeds.join(q, "qb").join(blocks, "id").mapInPandas(_search(k, False), FOUND), "found")
-    kth = _ranked(found, k).groupBy("qb", "query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(None)).alias("floor"))
-    floors = kth.groupBy("qb").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.col("floor").cast("double")))).alias("by"))
+    # the k-th row so far: only rows that would stand before it can still matter
+    kth = _ranked(found, k).where(F.col("rank") == k).select("qb", "query_id", F.struct(F.col("score").cast("double").alias("score"), F.col("vec_id")).alias("kth"))
+    floors = kth.groupBy("qb").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("by"))
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, last = [], []
             for ids, by in zip(pdf["q_ids"], pdf["by"], strict=True):
                 by = dict(by) if by is not None else {}
                 vals = [by.get(i) for i in np.frombuffer(ids, np.int64).tolist()]
-                out.append(np.array([-np.inf if v is None else v for v in vals]).tobytes())
-            yield pdf.drop(columns="by").assign(floor=out)
+                out.append(np.array([-np.inf if v is None else v["score"] for v in vals], float).tobytes())
+                last.append(np.array([0 if v is None else v["vec_id"] for v in vals], np.int64).tobytes())
+            yield pdf.drop(columns="by").assign(floor=out, last=last)
 
-    q = materialise(q.join(floors, "qb", "left").mapInPandas(aligned, "qb long, q_ids binary, q_vecs binary, floor binary"), "floors")
+    q = materialise(q.join(floors, "qb", "left").mapInPandas(aligned, "qb long, q_ids binary, q_vecs binary, floor binary, last binary"), "floors")
     rest = q.crossJoin(chunked).mapInPandas(plan(False), "qb long, id long").join(seeds, ["qb", "id"], "left_anti")
     more = rest.join(q, "qb").join(blocks, "id").mapInPandas(_search(k, True), FOUND)
     return _ranked(found.unionByName(more), k).select("query_id", "rank", "vec_id", "score")

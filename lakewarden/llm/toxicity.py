@@ -9,7 +9,7 @@ word costs one look-up a character until no entry can match. How many edits an e
 allows grows with its length.
 
 A hit's window says whether it is abuse or quotation: hits inside quotation marks or
-next to words of report count apart. Counts of exact, misspelled, stem and quoted hits,
+soon after words of report count apart. Counts of exact, misspelled, stem and quoted hits,
 and their density, go into a logistic score, fitted to the labelled documents around
 given prior weights, so that kinds of hits that labels never show keep their weight.
 """
@@ -215,7 +215,7 @@ def hits(text: str, matcher: Matcher) -> list[tuple[int, int, int, bool, bool]]:
     for i, m in enumerate(found):
         got = match(m.group())
         if got:
-            near = {x.group() for x in found[max(0, i - WINDOW) : i + WINDOW + 1]}
+            near = {x.group() for x in found[max(0, i - WINDOW) : i]}
             quoted = any(a <= m.start() and m.end() <= b for a, b in spans) or bool(near & _REPORT)
             out.append((m.start(), m.end(), got[0], got[1], quoted))
     return out
