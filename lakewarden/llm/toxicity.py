@@ -173,7 +173,9 @@ class Matcher:
     def match(self, word: str) -> tuple[int, bool] | None:
         if word in self.known:
             return self.known[word]
-        if len(self.sets) > STATES or len(self.known) > WORDS:
+        if len(self.known) > WORDS:
+            self.known.clear()
+        if len(self.sets) > STATES:
             self._reset()
         s = self.start
         for c in word:
@@ -197,6 +199,18 @@ class Matcher:
         return best
 
 
+_matchers: dict[tuple, Matcher] = {}
+
+
+def matcher_of(entries: list[tuple[str, bool]]) -> Matcher:
+    """The worker's matcher of a lexicon; it lives as long as the worker."""
+    key = tuple(entries)
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(entries)
+    return _matchers[key]
+
+
 #: Prior weights: bias, exact, one edit, two edits, stem, quoted, density of hits.
 PRIOR = np.array([-3.0, 4.5, 4.0, 2.5, 4.0, 0.7, 1.0])
 
@@ -259,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic",
     entries = learn_lexicon(rows)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(entries)
+        matcher = matcher_of(entries)
         for pdf in batches:
             yield pd.DataFrame({"label": pdf["label"], "x": [measures(t, matcher) for t in pdf["text"]]})
 
@@ -274,7 +288,7 @@ def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray], kee
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(entries)
+        matcher = matcher_of(entries)
         for pdf in batches:
             x = np.array([measures(t, matcher) for t in pdf["_text"]]).reshape(len(pdf), len(PRIOR))
             yield pdf[keep].assign(score=1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), hits=(x[:, 1:6].sum(axis=1) > 0))
