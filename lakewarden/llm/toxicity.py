@@ -25,15 +25,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+from .decontaminate import shingle_hashes, words
 from .labelled import sample
 
 #: Labelled documents used at most; least and greatest length of a beginning.
 SAMPLE, SHORTEST, LONGEST = 12_000, 3, 14
-#: Least toxic documents of an entry, and least log-odds.
-LEAST, ODDS = 5, 3.0
+#: Least toxic documents of an entry, as a number and as a share, and least log-odds.
+LEAST, SHARE, ODDS = 5, 0.02, 3.0
 #: States of the automaton and words remembered at most, by each worker.
 STATES, WORDS = 50_000, 400_000
 WINDOW = 4
+#: Clean near words that are remembered.
+FRIENDS = 20_000
 
 _WORD = re.compile(r"\w+")
 _LEET = str.maketrans("013457", "oieast")
@@ -50,6 +54,14 @@ def _beginnings(text: str) -> set[str]:
     return out
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """One of the rows whose texts share a label and the least hash of their five-word
+    shingles: the words of a text that was copied often must not pass for toxic terms."""
+    w = rows.select("label", "text", words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("row"))
+    least = F.coalesce(F.array_min(shingle_hashes(F.col("w"), 5)), F.xxhash64("text"))
+    return materialise(w.withColumn("least", least).dropDuplicates(["label", "least"]).select("label", "text"), "labelled")
+
+
 def learn_lexicon(rows: DataFrame, most: int = 2000) -> list[tuple[str, bool]]:
     """(entry, is a stem) from rows of label and text."""
     totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -67,7 +79,7 @@ def learn_lexicon(rows: DataFrame, most: int = 2000) -> list[tuple[str, bool]]:
                     yield pd.DataFrame({"b": list(c.keys()), "n": list(c.values())})
 
     toxic = rows.where("label = 1").mapInPandas(explode, "b string, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    pos = {r.b: r.n for r in toxic.where(F.col("n") >= max(LEAST, p // 200)).collect()}
+    pos = {r.b: r.n for r in toxic.where(F.col("n") >= max(LEAST, p * SHARE)).collect()}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter[str] = Counter()
@@ -108,7 +120,8 @@ def learn_lexicon(rows: DataFrame, most: int = 2000) -> list[tuple[str, bool]]:
 class Matcher:
     """The automaton. ``match`` gives (edits, is a stem) of a word's best entry, or None."""
 
-    def __init__(self, entries: list[tuple[str, bool]]) -> None:
+    def __init__(self, entries: list[tuple[str, bool]], friends: frozenset[str] = frozenset()) -> None:
+        self.friends = friends  # clean words that are near an entry
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, bool]]] = [[]]  # (edits allowed, stem)
         self.edits = [0]  # most edits that an entry below allows
@@ -195,6 +208,8 @@ class Matcher:
             plain = word.translate(_LEET)
             if plain != word and not plain.isdigit():
                 best = self.match(plain)
+        if best and best[0] and word in self.friends:
+            best = None
         self.known[word] = best
         return best
 
@@ -202,12 +217,12 @@ class Matcher:
 _matchers: dict[tuple, Matcher] = {}
 
 
-def matcher_of(entries: list[tuple[str, bool]]) -> Matcher:
+def matcher_of(entries: list[tuple[str, bool]], friends: frozenset[str] = frozenset()) -> Matcher:
     """The worker's matcher of a lexicon; it lives as long as the worker."""
-    key = tuple(entries)
+    key = (tuple(entries), friends)
     if key not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(entries)
+        _matchers[key] = Matcher(entries, friends)
     return _matchers[key]
 
 
@@ -251,7 +266,7 @@ def measures(text: str, matcher: Matcher) -> list[float]:
     ]
 
 
-def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0, rounds: int = 30) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0, rounds: int = 100) -> np.ndarray:
     """Logistic weights by Newton's method, drawn to PRIOR with strength ``pull``."""
     w = PRIOR.copy()
     if not len(x):
@@ -261,34 +276,46 @@ def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0, rounds: int = 30) -> np
         g = x.T @ (p - y) + pull * (w - PRIOR)
         h = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
         step = np.linalg.solve(h, g)
+        step *= min(1.0, 1.0 / np.abs(step).max()) if step.any() else 1.0  # far from the optimum a full step overshoots
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", most: int = SAMPLE) -> tuple[list[tuple[str, bool]], np.ndarray]:
-    """Lexicon and weights; ``use`` says, over k (the id) and label, what may be learned from."""
-    rows = sample(docs, labels, label, use, most)
+def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", most: int = SAMPLE) -> tuple[list[tuple[str, bool]], np.ndarray, frozenset[str]]:
+    """Lexicon, weights, and the words of clean documents that are near an entry without being
+    one (at most FRIENDS; they are no misspellings). ``use`` says, over k (the id) and label, what may be learned from."""
+    rows = without_copies(sample(docs, labels, label, use, most))
     entries = learn_lexicon(rows)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = matcher_of(entries)
+        for pdf in batches:
+            found = {w for t in pdf["text"] for w in set(_WORD.findall(t.lower())) if (m := matcher.match(w)) and m[0]}
+            if found:
+                yield pd.DataFrame({"w": sorted(found)})
+
+    clean = rows.where("label = 0").mapInPandas(near, "w string").groupBy("w").count().orderBy(F.desc("count"), "w").limit(FRIENDS)
+    friends = frozenset(r.w for r in clean.collect())
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = matcher_of(entries, friends)
         for pdf in batches:
             yield pd.DataFrame({"label": pdf["label"], "x": [measures(t, matcher) for t in pdf["text"]]})
 
     got = rows.mapInPandas(measure, "label int, x array<double>").collect()  # at most ``most`` rows
-    return entries, fit(np.array([r.x for r in got]), np.array([r.label for r in got], float))
+    return entries, fit(np.array([r.x for r in got]), np.array([r.label for r in got], float)), friends
 
 
-def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray, frozenset[str]], keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep``, score (0 to 1) and hits (whether a term was met) of each
     whole text; null texts are empty, and a text without hits has the score of the bias."""
-    entries, weights = model
+    entries, weights, friends = model
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = matcher_of(entries)
+        matcher = matcher_of(entries, friends)
         for pdf in batches:
             x = np.array([measures(t, matcher) for t in pdf["_text"]]).reshape(len(pdf), len(PRIOR))
             yield pdf[keep].assign(score=1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), hits=(x[:, 1:6].sum(axis=1) > 0))
