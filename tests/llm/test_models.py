@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -125,3 +126,16 @@ def test_lm_counts_equal_brute_force(spark, corpus):
     assert context_mixing.score(docs.limit(0), F.lit(False)).count() == 0
     again = {r.doc_id: r.score for r in context_mixing.score(docs.repartition(3), crc_mod(F.col("doc_id"), 5) == 1).collect()}
     assert all(again[r.doc_id] == pytest.approx(r.score, rel=0.05) for r in got)
+
+
+def test_map_of_frequent_contexts_survives_the_merge(spark):
+    words, counts = [b"the", b"them", b"ox"], np.array([70_000, 100_000, 3])
+    tables = context_mixing.count_bits(words, counts)
+    m = context_mixing.Mixer()
+    order = np.argsort([zlib.crc32(w) for w in words], kind="stable")
+    m.run(tables, [words[i] for i in order], counts.astype(float)[order])
+    assert m.seen.max() > 65_520
+    df = spark.createDataFrame([(bytearray(w), int(c)) for w, c in zip(words, counts, strict=True)], "word binary, c long").coalesce(1)
+    merged = context_mixing._train_mixer(df, spark.sparkContext.broadcast(tables))
+    use = m.seen > 0
+    assert np.allclose(merged.apm[use], np.clip(m.apm[use], 1e-6, 1 - 1e-6), rtol=1e-4)
