@@ -32,18 +32,25 @@ SEED = 42
 SLICE = 1 << 21
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """SimHash of the ``width``-word shingles, repeats included; see ``fingerprints``."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """Hashes of the ``width``-word shingles, repeats included; see ``fingerprints``."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], "<u8")
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-width]]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :], strict=True)], "<u8")
+    return np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :], strict=True)], "<u8")
+
+
+def fingerprint(text: bytes | None, width: int) -> int:
+    """SimHash of the ``width``-word shingles, repeats included; see ``fingerprints``."""
+    h = shingle_hashes(text, width)
+    if len(h) < 2:
+        return int(h.sum())
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 

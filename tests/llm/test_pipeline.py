@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from lakewarden.llm import simhash
 
@@ -37,3 +39,39 @@ def test_null_ids_and_repeats(spark):
     got = corpus_pipeline.near_dedup_stage(spark, docs, "")
     assert sorted((str(r.doc_id) for r in got.collect())) == ["1", "3", "None"]
     assert simhash.near_duplicates(docs, 5).count() == 5
+
+
+def test_near_copies_down_to_a_jaccard_of_four_fifths(spark):
+    r = random.Random(5)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    grams5 = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts = []
+    for n in (12, 60, 200, 900):
+        for edits in range(1, 8):
+            base = say(n)
+            copy = list(base)
+            for k in range(edits):
+                copy[(k + 1) * n // (edits + 1)] = f"e{k}"
+            texts += [base, copy, ["licence", "line", "of", "them", "all", "here"] + say(n)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    fps = {i: fp_brute(t, 5) for i, t in docs}
+    group = {i: i for i, _ in docs}
+    beyond = 0
+    for i, a in enumerate(texts):
+        for j in range(i):
+            x, y = grams5(a), grams5(texts[j])
+            jaccard = 5 * len(x & y) >= 4 * len(x | y)
+            near = bin(fps[i] ^ fps[j]).count("1") <= 4
+            beyond += jaccard and not near
+            if jaccard or near:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if v == old else v for k, v in group.items()}
+    assert beyond > 5
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "")
+    assert {r.doc_id for r in got.collect()} == set(group.values())
+
+
+def test_a_text_that_repeats_an_id_stays(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g")], "doc_id long, text string")
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert sorted((r.doc_id, r.text[0]) for r in got.collect()) == [(1, "a"), (1, "h")]
