@@ -30,8 +30,8 @@ END = "\r\n\r\n"
 
 
 def _header_text(c: Column) -> Column:
-    """A value that fits on one header line."""
-    return F.regexp_replace(c, r"[\r\n]", "%0A")
+    """A value that fits on one header line and holds no magic, at which reading splits."""
+    return F.replace(F.regexp_replace(c, r"[\r\n]", "%0A"), F.lit(MAGIC), F.lit("%57" + MAGIC[1:]))
 
 
 def to_records(pages: DataFrame, revisit_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -162,11 +162,14 @@ def field(header: Column, name: str) -> Column:
 def page_rows(records: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of archives that
     ``to_records`` made. A response's figures are those of the payload that was read; a
-    revisit has none, and its header names those of the payload that it refers to."""
+    revisit has none, and its header names those of the payload that it refers to. Magic in
+    a url comes back with its W as %57. A broken record is an error."""
+    h = F.when(F.col("broken"), F.raise_error(F.concat(F.lit("broken WARC record in "), F.col("file")))).otherwise(F.col("header"))
+    records = records.withColumn("header", h)
     h = F.col("header")
     page = lambda name: F.regexp_extract(field(h, name), r"<urn:page:(-?\d+)>", 1).try_cast("long")
     again = field(h, "WARC-Type") == "revisit"
-    return records.where("not broken").select(
+    return records.select(
         page("WARC-Record-ID").alias("page_id"),
         field(h, "WARC-Target-URI").alias("url"),
         F.when(again, field(h, "X-Payload-Length").try_cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),

@@ -53,3 +53,19 @@ def test_empty(spark):
     path = scratch(spark, "t")
     warc.write_archives(warc.to_records(spark.createDataFrame([], "page_id long, url string, html string")), path)
     assert warc.page_rows(warc.read_archives(spark, path)).count() == 0
+
+
+@pytest.mark.parametrize("url", ["http://a/WARC/1.", "WARC/1.WARC/1.1", "http://a/?q=WARC/1.0\r\nContent-Length: 3"])
+def test_magic_in_a_url_ends_no_chain(spark, url):
+    pages = spark.createDataFrame([(i, url if i == 3 else "u", f"page {i}") for i in range(1, 8)], "page_id long, url string, html string").coalesce(1)
+    path = scratch(spark, "t")
+    warc.write_archives(warc.to_records(pages).coalesce(1), path)
+    got = {r.page_id: r for r in warc.page_rows(warc.read_archives(spark, path)).collect()}
+    assert sorted(got) == list(range(1, 8)) and all(r.payload_bytes == 6 for r in got.values())
+    assert got[3].url.replace("%57", "W") == url.replace("\r", "%0A").replace("\n", "%0A")
+
+
+def test_a_broken_record_of_an_own_archive_fails(spark):
+    rows = spark.createDataFrame([("f", "WARC/1.1\r\nWARC-Type: response", bytearray(b""), True)], "file string, header string, payload binary, broken boolean")
+    with pytest.raises(Exception, match="broken WARC record"):
+        warc.page_rows(rows).collect()
