@@ -139,3 +139,17 @@ def test_map_of_frequent_contexts_survives_the_merge(spark):
     merged = context_mixing._train_mixer(df, spark.sparkContext.broadcast(tables))
     use = m.seen > 0
     assert np.allclose(merged.apm[use], np.clip(m.apm[use], 1e-6, 1 - 1e-6), rtol=1e-4)
+
+
+def test_mixer_learns_from_every_training_word(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "MIXER_WORDS", 10, raising=False)
+    train, given = context_mixing._train_mixer, []
+
+    def spy(words, tables):
+        given.extend(bytes(r.word) for r in words.where("c > 0").collect())
+        return train(words, tables)
+
+    monkeypatch.setattr(context_mixing, "_train_mixer", spy)
+    text = " ".join(f"w{i}" for i in range(60))
+    context_mixing.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), F.lit(False)).count()
+    assert set(given) == {*text.encode().split(), b"\n"}
