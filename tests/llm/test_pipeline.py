@@ -75,3 +75,11 @@ def test_a_text_that_repeats_an_id_stays(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g")], "doc_id long, text string")
     got = corpus_pipeline.near_dedup_stage(spark, docs, "")
     assert sorted((r.doc_id, r.text[0]) for r in got.collect()) == [(1, "a"), (1, "h")]
+
+
+def test_decontamination_goes_by_row(spark, tmp_path):
+    item = "one two three four five six seven"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"so {item}"), (None, "clean"), (1, f"{item} so"), (1, "clean too")], "doc_id long, text string")
+    got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", "clean too"), ("None", "clean")]
