@@ -67,12 +67,13 @@ class EliasFano:
         return (high << self.low_bits) | bits @ (1 << np.arange(self.low_bits - 1, -1, -1, dtype=np.int64))
 
     def to_bytes(self) -> bytes:
-        return _HEAD.pack(self.n, self.universe, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
+        return _HEAD.pack(self.n, max(self.universe - 1, 0), self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> tuple["EliasFano", int]:
+    def from_bytes(cls, data: bytes | memoryview) -> tuple["EliasFano", int]:
         """The coded sequence at the start of data, and the bytes that it takes."""
-        n, universe, l, a, b = _HEAD.unpack_from(data)
+        n, most, l, a, b = _HEAD.unpack_from(data)
+        universe = most + 1 if n else 0
         at = _HEAD.size
         low = np.frombuffer(data, np.uint8, a, at)
         high = np.frombuffer(data, np.uint8, b, at + a)

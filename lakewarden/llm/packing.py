@@ -15,13 +15,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .token_codec import codec
+from .token_codec import codec, slices
 
 #: Pieces that a group holds on average.
 GROUP_PIECES = 32_768
@@ -32,22 +31,25 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text (null: empty), append ``end_id``, cut at ``capacity``."""
+    """Encode every whole text (null or empty: the end alone), append ``end_id``, cut at
+    ``capacity``. Null and repeated ids are kept as they are; other columns are not read; an
+    empty table gives an empty one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = codec(tokenizer)
         for batch in batches:
-            out: list[tuple] = []
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
-                for k, data in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist()), strict=True):
-                    ids = np.append(np.frombuffer(data, words.dtype), words.dtype.type(end_id)).astype("<u4")
-                    for i, at in enumerate(range(0, len(ids), capacity)):
-                        piece = ids[at : at + capacity]
-                        out.append((k, i, at, len(piece), zlib.crc32(piece.tobytes())))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for a, n in slices(batch.column(1)):
+                ids, bounds = words.encode(batch.column(1).slice(a, n), end_id)
+                ids = ids.astype("<u4")
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(n), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(sizes[owner] - start, capacity)
+                crcs = [zlib.crc32(ids[x:y]) for x, y in zip((bounds[owner] + start).tolist(), (bounds[owner] + start + length).tolist(), strict=True)]
+                columns = [batch.column(0).slice(a, n).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInArrow(cut, PIECES)
@@ -89,10 +91,13 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) ->
     h = F.xxhash64("doc_id", "piece", "ids_crc32")
     grouped = pieces.withColumn("h", h).withColumn("g", F.pmod(F.col("h"), F.lit(groups)).cast("int"))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(last=(pdf["length"] < pdf["length"].quantile(LAST)) * -pdf["length"] + (pdf["length"] < pdf["length"].quantile(LAST)) * (capacity + 1))
-        pdf = pdf.sort_values(["last", "h", "doc_id", "piece"], kind="stable")
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(int(pdf["g"].iloc[0]) << 32) + bins, offset=offsets).drop(columns=["g", "h", "last"])
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        length = rows["length"].to_numpy()
+        small = length < np.quantile(length, LAST)
+        rows = rows.take(pa.array(np.argsort(np.where(small, capacity + 1 - length, 0), kind="stable")))
+        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
+        first = rows["g"][0].as_py() << 32
+        return rows.drop_columns(["g", "h"]).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
-    return grouped.groupBy("g").applyInPandas(place, PIECES + ", sequence_id long, offset long")
+    return grouped.groupBy("g").applyInArrow(place, PIECES + ", sequence_id long, offset long")

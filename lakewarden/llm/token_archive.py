@@ -7,10 +7,11 @@ offset without decoding the rest. Each segment is one file of bounded size, writ
 Spark's own file sink, so the output committer keeps what a finished task wrote and
 drops what a lost one left, on any file system that Spark writes.
 
-File layout, little-endian: magic ``LWTOK1``, a byte for the width of an id, a zero,
-then part, segment of the part, ids of the part before this segment, ids, documents
-(five int64), then doc_ids (int64), null flags of the doc_ids (a byte each), boundaries
-(Elias-Fano, ``documents + 1`` values), and the ids. Bytes after them are ignored.
+File layout, little-endian: magic ``LWTOK2``, a byte for the width of an id, a zero,
+then part, segment of the part, ids of the part before this segment, ids, documents,
+documents without a doc_id (they come first), least doc_id (seven int64), then what the
+doc_ids lie above the least (Elias-Fano, ascending), boundaries (Elias-Fano, ``documents
++ 1`` values), and the ids. Bytes after them are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import parts
 from .elias_fano import EliasFano
-from .token_codec import codec
+from .token_codec import codec, slices
 
-MAGIC = b"LWTOK1"
-HEAD = "<6sBBqqqqq"
-#: A segment is closed when its ids take this many bytes; one document may exceed it.
-SEGMENT_BYTES = 4 << 20
+MAGIC = b"LWTOK2"
+HEAD = "<6sBBqqqqqqq"
+#: A segment is closed when its ids take this many bytes; it may exceed them by a half, or by
+#: one document.
+SEGMENT_BYTES = 8 << 20
 
 
 @dataclass
@@ -48,23 +50,24 @@ class Segment:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
     def to_bytes(self) -> bytes:
-        docs = len(self.doc_ids)
-        head = struct.pack(HEAD, MAGIC, self.ids.dtype.itemsize, 0, self.part, self.number, self.before, len(self.ids), docs)
-        keys = np.array([x or 0 for x in self.doc_ids], "<i8").tobytes()
-        nulls = bytes(x is None for x in self.doc_ids)
-        return head + keys + nulls + self.bounds.to_bytes() + self.ids.tobytes()
+        keys = [x for x in self.doc_ids if x is not None]
+        least = keys[0] if keys else 0
+        head = struct.pack(HEAD, MAGIC, self.ids.dtype.itemsize, 0, self.part, self.number, self.before, len(self.ids), len(self.doc_ids), len(self.doc_ids) - len(keys), least)
+        above = EliasFano.encode(np.array([x - least for x in keys], np.uint64))
+        return head + above.to_bytes() + self.bounds.to_bytes() + self.ids.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> "Segment":
-        magic, width, _, part, number, before, n_ids, docs = struct.unpack_from(HEAD, data)
+        magic, width, _, part, number, before, n_ids, _, nulls, least = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a token segment")
         at = struct.calcsize(HEAD)
-        keys = np.frombuffer(data, "<i8", docs, at).tolist()
-        nulls = data[at + 8 * docs : at + 9 * docs]
-        bounds, took = EliasFano.from_bytes(data[at + 9 * docs :])
-        ids = np.frombuffer(data, f"<u{width}", n_ids, at + 9 * docs + took)
-        return cls(part, number, before, [None if z else k for k, z in zip(keys, nulls, strict=True)], bounds, ids)
+        above, took = EliasFano.from_bytes(memoryview(data)[at:])
+        at += took
+        bounds, took = EliasFano.from_bytes(memoryview(data)[at:])
+        ids = np.frombuffer(data, f"<u{width}", n_ids, at + took)
+        keys = (above.decode().view(np.uint64) + np.uint64(least % 2**64)).view(np.int64).tolist()
+        return cls(part, number, before, [None] * nulls + keys, bounds, ids)
 
 
 def write_token_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -83,27 +86,27 @@ def write_token_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int,
 
         part, made, before = TaskContext.get().partitionId(), 0, 0
         words = codec(tokenizer)
-        end = np.array([end_id], words.dtype).tobytes()
         keys: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []  # ids, one array for each slice of texts
+        sizes: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            bounds = np.cumsum([0, *(len(x) // words.dtype.itemsize for x in held)])
-            data = Segment(part, made, before, keys, EliasFano.encode(bounds), np.frombuffer(b"".join(held), words.dtype)).to_bytes()
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            data = Segment(part, made, before, keys, EliasFano.encode(bounds), np.concatenate(held)).to_bytes()
             return pa.RecordBatch.from_pydict({"segment": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
-                for k, ids in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist()), strict=True):
-                    keys.append(k)
-                    held.append(ids + end)
-                    size += len(held[-1])
-                    if size >= SEGMENT_BYTES:
-                        yield close()
-                        made, before = made + 1, before + size // words.dtype.itemsize
-                        keys, held, size = [], [], 0
+            for a, n in slices(batch.column(1), SEGMENT_BYTES // 2):
+                ids, bounds = words.encode(batch.column(1).slice(a, n), end_id)
+                keys += batch.column(0).slice(a, n).to_pylist()
+                held.append(ids)
+                sizes.append(np.diff(bounds))
+                size += ids.nbytes
+                if size >= SEGMENT_BYTES:
+                    yield close()
+                    made, before = made + 1, before + size // words.dtype.itemsize
+                    keys, held, sizes, size = [], [], [], 0
         if keys:
             yield close()
 
@@ -136,7 +139,8 @@ def read_token_archive(spark: SparkSession, path: str) -> DataFrame:
             for data in batch.column(0):
                 s = Segment.from_bytes(data.as_py())
                 bounds = s.bounds.decode()
-                crcs = [zlib.crc32(s.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                ids = s.ids.astype("<u4")
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 starts = bounds[:-1] + (base[s.part] + s.before)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64()), "start": starts, "n_tokens": np.diff(bounds), "ids_crc32": pa.array(crcs, pa.int64())})
 

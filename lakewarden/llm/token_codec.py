@@ -1,123 +1,174 @@
-"""Tokenising whole texts with a tokenizers file, a word at a time through a cache.
-
-Both supported files split a text into pre-tokens before any merge, and a blank that
-stands alone between two non-blank characters always starts a pre-token. So the ids of
-a text are the ids of its blank-separated words, one after the other, and a word that
-was seen before needs no new encoding. Texts where that does not hold (two blanks in a
-row, a blank at either end, other separators than blank and newline beside one) are
-encoded whole.
+"""Tokenising whole texts with a tokenizers file, a distinct word at a time.
+
+Both supported files split a text into pre-tokens before any merge, and a blank or a
+newline that stands alone between two other characters always starts a pre-token. So the
+ids of a text are the ids of its words, one after the other. A batch of texts is cut into
+words and these are numbered by their values, in Arrow; only words that the worker has
+not met go through the library, and the ids of all texts are gathered in one step. Texts
+where that does not hold (two blanks in a row, a blank at either end, other white space,
+an added token such as an end mark) are encoded whole, as the library does by default.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a worker's cache; beyond them words are encoded each time.
-CACHE_WORDS = 1_200_000
-#: Signs that may close a word; they are pre-tokens of their own after a letter.
-TAIL = ".,;:!?"
+#: Words that a worker remembers; then it starts anew.
+CACHE_WORDS = 600_000
+#: Put before a word that a newline precedes, before the first word of a text, and before
+#: signs that close a word (they are pre-tokens of their own after a letter that no file
+#: turns into something else than letters).
+_LINE, _FIRST, _TAIL = _MARKS = "\x00", "\x01", "\x02"
+_CLOSED = r"([A-Za-zÀ-ÖØ-öø-\x{12f}\x{131}-\x{17f}\x{3b1}-\x{3c9}\x{400}-\x{481}\x{4e00}-\x{9fff}])([.,;:!?]+)( |\z)"
+_ODD = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x00\x01\x02\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-_TWO_BLANKS = re.compile(r"\s\s")
 _codecs: dict[str, "WordCodec"] = {}
 
 
 class WordCodec:
-    """Text to ids as little-endian uint16 or uint32 bytes (``dtype``)."""
+    """Texts to ids as little-endian uint16 or uint32 (``dtype``)."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
         # a lower-casing file with word ends drops blanks; a byte-level one keeps them as part of the word
-        self.lower = self._ids(["Ab"]) == self._ids(["ab"])
-        self.tails: dict[str, bytes] = {}
-        self.lead = "" if self._ids([" a"]) == self._ids(["a"]) else " "
+        same = lambda a, b: np.array_equal(*self._ids([a, b]))
+        self.lower, self.lead = same("Ab", "ab"), "" if same(" a", "a") else " "
+        self.line = self._ids(["\n"])[0]
         vocab = self.tokenizer.get_vocab()
         mark = (lambda t: t.startswith("Ġ")) if self.lead else (lambda t: t.endswith("</w>"))
         self.marks = np.zeros(max(vocab.values()) + 1, bool)
         self.marks[[i for t, i in vocab.items() if mark(t)]] = True
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def _ids_of_words(self, words: list[str], lead: str) -> list[bytes]:
-        """As ``_ids``, but words of letters alone go through the library in one text: each is
-        one pre-token, and its first (or last) id is marked as such in the vocabulary."""
-        plain = [w for w in words if w.isalpha()] if lead == self.lead else []
-        got: dict[str, bytes] = {}
-        for a in range(0, len(plain), 512):
-            some = plain[a : a + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([lead + " ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            at = np.flatnonzero(self.marks[ids])
-            if len(at) == len(some):
-                cuts = [*at.tolist(), len(ids)] if self.lead else [0, *(at + 1).tolist()]
-                data, k = ids.tobytes(), self.dtype.itemsize
-                got.update((w, data[k * x : k * y]) for w, x, y in zip(some, cuts[:-1], cuts[1:], strict=True))
-        rest = [w for w in words if w not in got]
-        got.update(zip(rest, self._ids([lead + w for w in rest]), strict=True))
-        return [got[w] for w in words]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._words(t) for t in texts]
-        lead = self.lead
-        new = {w for c in cut if c for w in c[1] if w not in self.cache}
-        got = self._learn(list(new), self.cache, lead) if new else {}
-        heads = {c[0] for c in cut if c and c[0] is not None and c[0] not in self.firsts}
-        starts = self._learn(list(heads), self.firsts, "") if heads else {}
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(self._ids([t])[0])
-                continue
-            head, words = c
-            first = b"" if head is None else starts[head] if head in starts else self.firsts[head]
-            try:
-                out.append(first + b"".join([self.cache[w] for w in words]))
-            except KeyError:
-                out.append(first + b"".join([got[w] if w in got else self.cache[w] for w in words]))
-        return out
-
-    def _words(self, text: str) -> tuple[str | None, list[str]] | None:
-        """The first word, where it is encoded without a blank, and the others; None for texts
-        that have to be encoded whole."""
-        if not text:
-            return None, []
-        if text[0].isspace() or text[-1].isspace() or _TWO_BLANKS.search(text):
+        added = "|".join(re.escape(str(t.content)) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
+        self.odd = f"{_ODD}|(?i:{added})" if added else _ODD
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat = np.zeros(1 << 20, self.dtype)
+        self.starts = np.zeros((1 << 18) + 1, np.int64)  # of each word's ids, and the end of the last
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str], first: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and sizes of words of letters alone, encoded as one text: each is one pre-token,
+        and its first (or last) id is marked as such in the vocabulary. Words without a blank
+        before them (``first``) are parted by newlines. None if the marks do not add up."""
+        text = "\n".join(words) if first else self.lead + " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        if first:
+            at = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else None
+            if at is None or len(at) != len(words) - 1:
+                return None
+            return np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1
+        at = np.flatnonzero(self.marks[ids])
+        if len(at) != len(words):
             return None
-        words = text.split(" ")
-        return (words[0], words[1:]) if self.lead else (None, words)
+        return ids, np.diff(at, append=len(ids)) if self.lead else np.diff(at, prepend=-1)
 
-    def _learn(self, new: list[str], cache: dict[str, bytes], lead: str) -> dict[str, bytes]:
-        """Ids of new words: of the bare word, and of the signs that close it."""
-        split = []
+    def _learn(self, new: list[str]) -> None:
+        """Add words that are not in the index; letters alone go through the library together."""
+        groups: dict[str, list[str]] = {"": [w for w in new if w.isalpha()]}
+        alone = []
         for w in new:
-            base = w.rstrip(TAIL)
-            if base == w or not base or not base[-1].isalpha():
-                base = w
-            split.append((w, base.lower() if self.lower and base.isascii() else base, w[len(base) :]))
-        bases = list({b for _, b, _ in split if b not in cache})
-        found = dict(zip(bases, self._ids_of_words(bases, lead), strict=True))
-        tails = list({t for _, _, t in split if t and t not in self.tails})
-        closing = dict(zip(tails, self._ids(tails), strict=True))
-        closing[""] = b""
-        if len(cache) < CACHE_WORDS:
-            cache.update(found)
-        if len(self.tails) < 10_000:
-            self.tails.update(closing)
-        got = {w: (found[b] if b in found else cache[b]) + (closing[t] if t in closing else self.tails[t]) for w, b, t in split}
-        if len(cache) < CACHE_WORDS // 2:
-            cache.update(got)
-        return got
+            if not w.isalpha():
+                mark = w[:1] if w[:1] in _MARKS else ""
+                if mark and mark != _TAIL and self.lead and w[1:].isalpha():
+                    groups.setdefault(mark, []).append(w)
+                else:
+                    alone.append(w)
+        for mark, words in groups.items():
+            for a in range(0, len(words), 512):
+                some = words[a : a + 512]
+                got = self._joined([w[1:] for w in some] if mark else some, bool(mark))
+                if got is None:
+                    alone += some
+                else:
+                    ids, sizes = got
+                    if mark == _LINE:
+                        ids, sizes = np.insert(ids, np.cumsum(sizes) - sizes, self.line[0]), sizes + 1
+                    self._add(some, ids, sizes)
+        for a in range(0, len(alone), 4096):
+            some = alone[a : a + 4096]
+            found = self._ids([w[1:] if w[:1] in _MARKS else self.lead + w for w in some])
+            found = [np.concatenate([self.line, x]) if w[:1] == _LINE else x for w, x in zip(some, found, strict=True)]
+            self._add(some, np.concatenate(found), np.array([len(x) for x in found]))
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.index)
+        at = self.starts[n]
+        while at + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        while n + len(words) + 1 > len(self.starts):
+            self.starts = np.append(self.starts, np.zeros_like(self.starts))
+        self.flat[at : at + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(words)] = at + np.cumsum(sizes)
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids begin (and the last
+        end). ``end`` is put after each text. Texts must not be null."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
+        plain = texts
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            plain = pc.if_else(pa.array(mask), "", texts)
+        if self.lower:
+            plain = pc.ascii_lower(plain)
+        marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(plain, "\n", " " + _LINE), "")
+        marked = pc.replace_substring_regex(marked, _CLOSED, rf"\1 {_TAIL}\2\3")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.index) > CACHE_WORDS:
+            self._forget()
+        number = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            new = [distinct[i] for i in missing]
+            self._learn(new)
+            number[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        number = number[coded.indices.to_numpy()]
+        starts = self.starts[number]
+        sizes = self.starts[number + 1] - starts
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(starts - done[:-1], sizes) + np.arange(done[-1])]
+        bounds = done[cuts]
+        if len(odd):
+            own = np.split(ids, bounds[1:-1])
+            for i, data in zip(odd.tolist(), self._ids([texts[int(i)].as_py() for i in odd]), strict=True):
+                own[i] = data
+            ids, bounds = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        if end is not None:
+            ids = np.insert(ids, bounds[1:], self.dtype.type(end))
+            bounds = bounds + np.arange(len(bounds))
+        return ids, bounds
+
+
+def slices(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
+    """(offset, length) of runs of texts of about ``most`` bytes; a longer text is alone."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    out, a, before = [], 0, 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(sizes, before + most, "right")))
+        out.append((a, b - a))
+        a, before = b, int(sizes[b - 1])
+    return out
 
 
 def codec(path: str) -> WordCodec:

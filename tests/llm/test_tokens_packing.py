@@ -1,21 +1,28 @@
+import functools
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from lakewarden.llm import packing, token_archive
+from lakewarden.llm import packing, token_archive, token_codec
 from lakewarden.llm.common import scratch
 from lakewarden.llm.elias_fano import EliasFano
 from lakewarden.llm.token_codec import WordCodec
 
-TEXTS = ["", None, "one two", " lead", "a  b", "a\n b", "don't stop", "İ ſ x", "trail ", "<|endoftext|> x", "word " * 3000 + "end", "one two"]
+TEXTS = ["", None, "one two", " lead", "a  b", "a\n b", "don't stop", "İ ſ x", "trail ", "<|endoftext|> x", "word " * 3000 + "end", "one two", "word <|EndOfText|> word", "a\nb.\nC", "\n", "A.B, c.\nD!", "a\x00b \x01c \x02.", "K <|startoftext|>", "e\u0301 \u0301x", "\u0915\u093c\u0958 ok.", "it's 12 3.5. ... !? (x).\n\ny", "x\ty", "a\u00a0 b", "I\u0307 X. \u0130."]
+
+
+@functools.cache
+def library(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def reference(name, text, end):
-    k = Tokenizer.from_file(public_tokenizers.path(name))
-    k.encode_special_tokens = True
+    k = library(name)
     return [*k.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -28,8 +35,26 @@ def docs(spark):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_codec_equals_library(name):
     c = WordCodec(public_tokenizers.path(name))
-    for t in TEXTS:
-        assert np.frombuffer(c.encode([t or ""])[0], c.dtype).tolist() == reference(name, t, 0)[:-1]
+    for texts in (TEXTS, *([t] for t in TEXTS), TEXTS[::-1]):  # the last from the cache
+        ids, bounds = c.encode(pa.array([t or "" for t in texts]), 3)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [reference(name, t, 3) for t in texts]
+    assert c.encode(pa.array([], pa.string()), 3)[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_codec_on_real_texts_and_a_full_cache(name, monkeypatch):
+    monkeypatch.setattr(token_codec, "CACHE_WORDS", 500)
+    c = WordCodec(public_tokenizers.path(name))
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].combine_chunks().cast(pa.string()).fill_null("")
+    for a, n in token_codec.slices(texts, 100_000):
+        ids, bounds = c.encode(texts.slice(a, n))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [reference(name, t, 0)[:-1] for t in texts.slice(a, n).to_pylist()]
+
+
+def test_segment_keys():
+    for keys in ([None, None, -(2**63), -5, -5, 2**63 - 1], [None], [7], [2**60 + 1, 2**60 + 2]):
+        s = token_archive.Segment(1, 2, 3, keys, EliasFano.encode(np.arange(len(keys) + 1)), np.arange(len(keys), dtype="<u2"))
+        assert token_archive.Segment.from_bytes(s.to_bytes()).doc_ids == keys
 
 
 @pytest.mark.parametrize("step", [1, 2, 900])
@@ -85,6 +110,36 @@ def test_packing_is_exact(docs):
         assert at <= 64
 
 
+def test_packing_against_all_gaps():
+    """Each place is the one of least sum of squares, by trying all gaps."""
+    r = np.random.default_rng(11)
+    for _ in range(20):
+        capacity = int(r.integers(5, 40))
+        x = r.integers(1, capacity + 1, 150)
+        bins, offsets = packing.sum_of_squares(x, capacity)
+        gaps = {}
+        for s, b, o in zip(x.tolist(), bins.tolist(), offsets.tolist(), strict=True):
+            counts = np.bincount(list(gaps.values()), minlength=capacity + 1)
+
+            def after(g, fresh):
+                n = counts.copy()
+                n[g] -= not fresh
+                n[g - s] += 1
+                return int((n[1:] ** 2).sum())
+
+            found = {g: after(g, False) for g in range(s, capacity + 1) if counts[g]}
+            found[0] = after(capacity, True)  # a new sequence
+            now = gaps.get(b, capacity)
+            assert capacity - now == o and (found[now] if b in gaps else found[0]) == min(found.values())
+            gaps[b] = now - s
+
+
+def test_ids_beside_null_ids_stay_exact(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "a b"), (None, "c")], "doc_id long, text string")
+    got = packing.pack(packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 64), 64).collect()
+    assert {r.doc_id for r in got} == {2**60 + 1, None}
+
+
 def test_packing_of_nothing(docs):
     assert packing.pack(packing.cut_pieces(docs.limit(0), public_tokenizers.path("word_bpe_49k.json"), 1, 64), 64).count() == 0
 
