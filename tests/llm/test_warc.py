@@ -31,7 +31,7 @@ def test_round_trip_with_magic_in_payloads(spark, block, files, codec):
         spark.conf.set("spark.sql.files.maxPartitionBytes", block)
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
         records = warc.read_archives(spark, path)
-        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])  # payloads are read in other blocks
         got = warc.page_rows(records).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
@@ -69,3 +69,31 @@ def test_a_broken_record_of_an_own_archive_fails(spark):
     rows = spark.createDataFrame([("f", "WARC/1.1\r\nWARC-Type: response", bytearray(b""), True)], "file string, header string, payload binary, broken boolean")
     with pytest.raises(Exception, match="broken WARC record"):
         warc.page_rows(rows).collect()
+
+
+def test_a_record_that_also_stands_inside_a_payload(spark):
+    pages = spark.createDataFrame([(1, "u", "one")], "page_id long, url string, html string")
+    inner = warc.to_records(pages).first().value + warc.END
+    path = scratch(spark, "t")
+    rows = [inner + "x", "WARC/1.1\r\nContent-Length: %d\r\n\r\n%s" % (len(inner), inner), inner[: -len(warc.END)]]
+    spark.createDataFrame([(r,) for r in [rows[2], rows[1], rows[2]]], "value string").coalesce(1).write.option("lineSep", warc.END).text(path)
+    got = sorted(bytes(r.payload) for r in warc.read_archives(spark, path).collect())
+    assert got == sorted([b"one", b"one", inner.encode()])
+
+
+@pytest.mark.parametrize("change", [("one", "two"), ("WARC-Type: response", "WARC-Type: revisit")])
+def test_headers_that_lie_fail(spark, change):
+    pages = spark.createDataFrame([(1, "u", "one")], "page_id long, url string, html string")
+    path = scratch(spark, "t")
+    spark.createDataFrame([(warc.to_records(pages).first().value.replace(*change),)], "value string").write.option("lineSep", warc.END).text(path)
+    with pytest.raises(Exception, match="not what its header says|without its response"):
+        warc.page_rows(warc.read_archives(spark, path)).collect()
+
+
+def test_many_copies_with_the_filter_full(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILTER_BITS", 8)
+    pages = [(i, "u", "z" * (1000 + i % 7)) for i in range(60)] + [(i, "u", "y" * (1100 + i)) for i in range(60, 90)]
+    path = scratch(spark, "t")
+    warc.write_archives(warc.to_records(spark.createDataFrame(pages, "page_id long, url string, html string")), path)
+    got = warc.page_rows(warc.read_archives(spark, path)).collect()
+    assert sorted((tuple(r[k] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got), key=str) == expected(pages)
