@@ -1,5 +1,9 @@
+import heapq
+import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,16 +101,136 @@ def test_linear_time_identity():
     assert m.raw([(idx, val)])[0] == pytest.approx(0.3 + m.w[idx] @ val + pairs, rel=1e-4)
 
 
-def test_mixing_is_a_probability():
-    words = [b"ab", b"ab", b"ba", b"abc"]
-    tables = context_mixing.count_bits(words, np.array([5, 5, 2, 1]))
-    m = context_mixing.Mixer()
-    m.run(tables, words, np.array([5.0, 5, 2, 1]))
-    # all byte strings of one letter and a blank, and all longer ones: the sum over first bytes is one
-    first = 10 ** m.run(tables, [bytes([b]) for b in range(256) if b != 10])
-    assert 0 < first.sum() <= 1 + 1e-9
-    long = b"x" * 100
-    assert m.run(tables, [long, b"ab"]).shape == (2,) and m.run(tables, [long])[0] < m.run(tables, [b"ab"])[0]
+def brute_mix(training, texts, hot, escape, table_bits):
+    """The mixer a bit at a time in plain Python; ``hot`` are (word, count) in order."""
+    u = 0xFFFFFFFF
+
+    def mixed(x, salt=0):
+        x = ((x ^ (salt * 0x9E3779B1 & u)) * 0x85EBCA6B) & u
+        x = ((x ^ (x >> 15)) * 0xC2B2AE35) & u
+        return x ^ (x >> 13)
+
+    n = len(hot)
+    heap, up, total = [(c, i) for i, (_, c) in enumerate([*hot, (None, escape)])], {}, {}
+    heapq.heapify(heap)
+    total.update({i: c for c, i in heap})
+    top = n
+    while len(heap) > 1:
+        (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+        top += 1
+        up[a], up[b], total[top] = (top, 0), (top, 1), x + y
+        heapq.heappush(heap, (x + y, top))
+    rank = {w: i for i, (w, _) in enumerate(hot)}
+
+    def path(w):
+        x, out = rank.get(w, n), []
+        while x != top:
+            out.append(up[x])
+            x = up[x][0]
+        return out[::-1]
+
+    ones = {}
+    for x, (node, bit) in up.items():
+        ones[node] = ones.get(node, 0) + bit * total[x]
+
+    def steps(words):
+        before, last, second = 1, 2, 3
+        for w in words:
+            hashes = [mixed(before, 2), mixed(last, 3), mixed(mixed(last, 4) ^ second, 5)]
+            for node, bit in path(w):
+                slots = [(((h ^ mixed(node - n - 1, 1)) * 0x9E3779B1) & u) >> (32 - b) for h, b in zip(hashes, table_bits, strict=True)]
+                yield w, node, bit, slots
+            before = zlib.crc32(w)
+            if rank.get(w, n) < min(context_mixing.COMMON, n):
+                last, second = zlib.crc32(w), last
+
+    tables = [{}, {}, {}]
+    for words in training:
+        for _, _, bit, slots in steps(words):
+            for t, s in zip(tables, slots, strict=True):
+                t.setdefault(s, [0, 0])[bit] += 1
+
+    def known(t, s):
+        c = t.get(s, [0, 0])
+        value = round(min(max(math.log((c[1] + 0.4) / (c[0] + 0.4)), -7.9), 7.9) * 16) / 16
+        return sum(sum(c) > x for x in (0, 3, 30, 300)), value
+
+    out = []
+    for words in texts:
+        weights = context_mixing.first_weights().astype(float)
+        squares = np.full(weights.shape, 0.1)
+        table = 1 / (1 + np.exp(-np.linspace(-8, 8, context_mixing.BUCKETS)))
+        score, a, b = 0.0, 0, context_mixing.BLOCK
+        while a < len(words):
+            grad, hits = np.zeros(weights.shape), {}
+            # contexts of the block's words follow from the words before them
+            skip = sum(len(path(w)) for w in words[:a])
+            size = sum(len(path(w)) for w in words[a:b])
+            for _, node, bit, slots in itertools.islice(steps(words), skip, skip + size):
+                got = [known(t, s) for t, s in zip(tables, slots, strict=True)]
+                gate = got[0][0] * context_mixing.LEVELS + got[1][0]
+                x = np.array([math.log((ones[node] + 0.4) / (total[node] - ones[node] + 0.4)), *(v for _, v in got)])
+                z = min(max(float(weights[gate] @ x), -8), 8)
+                p = 1 / (1 + math.exp(-z))
+                cell = round((z + 8) * (context_mixing.BUCKETS - 1) / 16)
+                final = (p + table[cell]) / 2
+                score += math.log10(final if bit else 1 - final)
+                grad[gate] += (bit - p) * x
+                hits.setdefault(cell, []).append(bit)
+            squares += grad**2
+            weights += context_mixing.RATE * grad / np.sqrt(squares)
+            for cell, seen in hits.items():
+                table[cell] += (sum(seen) / len(seen) - table[cell]) * (1 - math.exp(-context_mixing.MAP_RATE * len(seen)))
+            table = np.clip(table, 1e-4, 1 - 1e-4)
+            a, b = b, 2 * b
+        out.append(score)
+    return out
+
+
+def test_lm_score_equals_brute_force(spark, monkeypatch):
+    """The whole score: mixed bits a bit at a time, shares of rare words, and spelled new words."""
+    monkeypatch.setattr(context_mixing, "HOT_WORDS", 12)
+    monkeypatch.setattr(context_mixing, "COMMON", 4)
+    r = random.Random(2)
+    say = lambda k: " ".join(f"w{min(int(r.expovariate(0.15)), 60)}" for _ in range(k))
+    docs = [(i, say(r.randint(0, 90)) + (f" New{i}" if i % 4 == 0 else "")) for i in range(40)]
+    got = {x.doc_id: x for x in context_mixing.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 4 == 0).collect()}
+    words = {i: t.lower().encode().split() + [b"\n"] for i, t in docs}
+    training = [w for i, w in words.items() if i % 4]
+    counts = Counter(w for ws in training for w in ws)
+    order = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    least = next(c for c in sorted(set(counts.values())) if sum(v >= c for v in counts.values()) <= 12)
+    hot = [(w, c) for w, c in order if c >= least]
+    rare = sum(c for w, c in order if c < least)
+    once = max(sum(c == 1 for c in counts.values()), 1)
+    bits = context_mixing._fit_bits(context_mixing.TABLE_BITS, 2 * sum(counts.values()))
+    want = dict(zip(words, brute_mix(training, words.values(), hot, rare + once, bits), strict=True))
+    new = once / (rare + once)
+    spell_bits = context_mixing._fit_bits(context_mixing.SPELL_BITS, 16 * len(counts))
+    tables = [np.zeros(2 << b, np.int64) for b in spell_bits]
+    _, hashed, node, bit = context_mixing._spelled(list(counts))
+    for t, h, b in zip(tables, hashed, spell_bits, strict=True):
+        np.add.at(t, 2 * context_mixing._slots(np.repeat(h, 8), node, b) + bit.astype(int), 1)
+    tables = [context_mixing._logits(t[0::2], t[1::2]) for t in tables]
+    for i, ws in words.items():
+        for w in ws:
+            if w not in dict(hot):
+                want[i] += math.log10((1 - new) * counts[w] / rare) if w in counts else math.log10(new) + context_mixing.spell(tables, [w])[0]
+        assert got[i].score == pytest.approx(want[i], rel=1e-4), i
+
+
+def test_spelling_is_a_probability():
+    tables = [context_mixing._logits(np.arange(1 << b) % 3, np.arange(1 << b) % 5) for b in context_mixing.SPELL_BITS]
+    one = 10 ** context_mixing.spell(tables, [bytes([b]) for b in range(256)])
+    assert 0 < one.sum() < 1
+    assert context_mixing.spell(tables, [b"x" * 5000])[0] < -1000 and len(context_mixing.spell(tables, [])) == 0
+
+
+def test_code_is_prefix_free_and_follows_counts():
+    code = context_mixing.Code([b"a", b"b", b"c"], [8, 4, 1], 2)
+    sizes = np.diff(code.starts)
+    assert (2.0**-sizes).sum() == 1 and sizes[0] == 1
+    assert np.diff(context_mixing.Code([], [], 1).starts).tolist() == [0]
 
 
 def test_lm_counts_equal_brute_force(spark, corpus):
@@ -124,32 +248,21 @@ def test_lm_counts_equal_brute_force(spark, corpus):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
         assert r.base_score == pytest.approx(want[r.doc_id][4], abs=1e-6) and r.score < 0
     assert context_mixing.score(docs.limit(0), F.lit(False)).count() == 0
-    again = {r.doc_id: r.score for r in context_mixing.score(docs.repartition(3), crc_mod(F.col("doc_id"), 5) == 1).collect()}
-    assert all(again[r.doc_id] == pytest.approx(r.score, rel=0.05) for r in got)
-
-
-def test_map_of_frequent_contexts_survives_the_merge(spark):
-    words, counts = [b"the", b"them", b"ox"], np.array([70_000, 100_000, 3])
-    tables = context_mixing.count_bits(words, counts)
-    m = context_mixing.Mixer()
-    order = np.argsort([zlib.crc32(w) for w in words], kind="stable")
-    m.run(tables, [words[i] for i in order], counts.astype(float)[order])
-    assert m.seen.max() > 65_520
-    df = spark.createDataFrame([(bytearray(w), int(c)) for w, c in zip(words, counts, strict=True)], "word binary, c long").coalesce(1)
-    merged = context_mixing._train_mixer(df, spark.sparkContext.broadcast(tables))
-    use = m.seen > 0
-    assert np.allclose(merged.apm[use], np.clip(m.apm[use], 1e-6, 1 - 1e-6), rtol=1e-4)
-
-
-def test_mixer_learns_from_every_training_word(spark, monkeypatch):
-    monkeypatch.setattr(context_mixing, "MIXER_WORDS", 10, raising=False)
-    train, given = context_mixing._train_mixer, []
-
-    def spy(words, tables):
-        given.extend(bytes(r.word) for r in words.where("c > 0").collect())
-        return train(words, tables)
-
-    monkeypatch.setattr(context_mixing, "_train_mixer", spy)
-    text = " ".join(f"w{i}" for i in range(60))
-    context_mixing.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), F.lit(False)).count()
-    assert set(given) == {*text.encode().split(), b"\n"}
+    for other in (docs.repartition(3), docs.repartition(1).orderBy(F.desc("doc_id"))):
+        again = {r.doc_id: r.score for r in context_mixing.score(other, crc_mod(F.col("doc_id"), 5) == 1).collect()}
+        assert all(again[r.doc_id] == pytest.approx(r.score, rel=1e-9) for r in got)
+
+
+def test_lm_odd_tables(spark):
+    kinds = "doc_id long, text string, word string, row string, held_out string"
+    docs = spark.createDataFrame([(1, None, "x", "y", "z"), (1, "", "x", "y", "z"), (None, " A\x0bb\tÉ ", "x", "y", "z"), (2, "a " * 40_000 + "q" * 70_000, "x", "y", "z")], kinds)
+    for held in (F.lit(False), F.lit(True), F.lit(None).cast("boolean")):
+        got = context_mixing.score(docs, held).collect()
+        assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 1), ("1", 1), ("2", 40_002), ("None", 4)]
+        assert all(r.score <= 0 and np.isfinite(r.score) and np.isfinite(r.base_score) for r in got)
+
+
+def test_lm_beats_the_base_and_knows_what_it_read(spark):
+    got = context_mixing.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), crc_mod(F.col("doc_id"), 5) == 1)
+    r = got.groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
+    assert all(x.s > x.b for x in r)
