@@ -134,21 +134,21 @@ def brute_mix(training, texts, hot, escape, table_bits):
         ones[node] = ones.get(node, 0) + bit * total[x]
 
     def steps(words):
-        before, last, second = 1, 2, 3
+        before, last = 1, context_mixing.COMMON
         for w in words:
-            hashes = [mixed(before, 2), mixed(last, 3), mixed(mixed(last, 4) ^ second, 5)]
-            for node, bit in path(w):
-                slots = [(((h ^ mixed(node - n - 1, 1)) * 0x9E3779B1) & u) >> (32 - b) for h, b in zip(hashes, table_bits, strict=True)]
-                yield w, node, bit, slots
+            for place, (node, bit) in enumerate(path(w)):
+                slot = (((mixed(before, 2) ^ mixed(node - n - 1, 1)) * 0x9E3779B1) & u) >> (32 - table_bits)
+                yield node, bit, slot if place < context_mixing.HEAD else None, (last, node)
             before = zlib.crc32(w)
             if rank.get(w, n) < min(context_mixing.COMMON, n):
-                last, second = zlib.crc32(w), last
+                last = rank[w]
 
-    tables = [{}, {}, {}]
+    by_slot, by_common = {}, {}
     for words in training:
-        for _, _, bit, slots in steps(words):
-            for t, s in zip(tables, slots, strict=True):
-                t.setdefault(s, [0, 0])[bit] += 1
+        for _, bit, slot, pair in steps(words):
+            by_common.setdefault(pair, [0, 0])[bit] += 1
+            if slot:  # the first slot stays empty
+                by_slot.setdefault(slot, [0, 0])[bit] += 1
 
     def known(t, s):
         c = t.get(s, [0, 0])
@@ -166,10 +166,16 @@ def brute_mix(training, texts, hot, escape, table_bits):
             # contexts of the block's words follow from the words before them
             skip = sum(len(path(w)) for w in words[:a])
             size = sum(len(path(w)) for w in words[a:b])
-            for _, node, bit, slots in itertools.islice(steps(words), skip, skip + size):
-                got = [known(t, s) for t, s in zip(tables, slots, strict=True)]
-                gate = got[0][0] * context_mixing.LEVELS + got[1][0]
-                x = np.array([math.log((ones[node] + 0.4) / (total[node] - ones[node] + 0.4)), *(v for _, v in got)])
+            for node, bit, slot, pair in itertools.islice(steps(words), skip, skip + size):
+                alone = math.log((ones[node] + 0.4) / (total[node] - ones[node] + 0.4))
+                level, value = known(by_common, pair)
+                if slot is None:
+                    z = context_mixing.LATER[0][level] * alone + context_mixing.LATER[1][level] * value
+                    score -= math.log10(1 + math.exp(-z if bit else z))
+                    continue
+                got = known(by_slot, slot)
+                gate = got[0] * context_mixing.LEVELS + level
+                x = np.array([alone, got[1], value])
                 z = min(max(float(weights[gate] @ x), -8), 8)
                 p = 1 / (1 + math.exp(-z))
                 cell = round((z + 8) * (context_mixing.BUCKETS - 1) / 16)
@@ -189,28 +195,28 @@ def brute_mix(training, texts, hot, escape, table_bits):
 
 def test_lm_score_equals_brute_force(spark, monkeypatch):
     """The whole score: mixed bits a bit at a time, shares of rare words, and spelled new words."""
-    monkeypatch.setattr(context_mixing, "HOT_WORDS", 12)
+    monkeypatch.setattr(context_mixing, "HOT_WORDS", 40)
     monkeypatch.setattr(context_mixing, "COMMON", 4)
     r = random.Random(2)
-    say = lambda k: " ".join(f"w{min(int(r.expovariate(0.15)), 60)}" for _ in range(k))
+    say = lambda k: " ".join(f"w{min(int(r.expovariate(0.06)), 90)}" for _ in range(k))
     docs = [(i, say(r.randint(0, 90)) + (f" New{i}" if i % 4 == 0 else "")) for i in range(40)]
     got = {x.doc_id: x for x in context_mixing.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 4 == 0).collect()}
     words = {i: t.lower().encode().split() + [b"\n"] for i, t in docs}
     training = [w for i, w in words.items() if i % 4]
     counts = Counter(w for ws in training for w in ws)
     order = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
-    least = next(c for c in sorted(set(counts.values())) if sum(v >= c for v in counts.values()) <= 12)
+    least = next(c for c in sorted(set(counts.values())) if sum(v >= c for v in counts.values()) <= 40)
     hot = [(w, c) for w, c in order if c >= least]
     rare = sum(c for w, c in order if c < least)
     once = max(sum(c == 1 for c in counts.values()), 1)
-    bits = context_mixing._fit_bits(context_mixing.TABLE_BITS, 2 * sum(counts.values()))
+    bits = context_mixing._fit_bits((context_mixing.TABLE_BITS,), 2 * sum(counts.values()))[0]
     want = dict(zip(words, brute_mix(training, words.values(), hot, rare + once, bits), strict=True))
     new = once / (rare + once)
     spell_bits = context_mixing._fit_bits(context_mixing.SPELL_BITS, 16 * len(counts))
     tables = [np.zeros(2 << b, np.int64) for b in spell_bits]
     _, hashed, node, bit = context_mixing._spelled(list(counts))
     for t, h, b in zip(tables, hashed, spell_bits, strict=True):
-        np.add.at(t, 2 * context_mixing._slots(np.repeat(h, 8), node, b) + bit.astype(int), 1)
+        np.add.at(t, 2 * context_mixing._slots(h, node, b) + bit, 1)
     tables = [context_mixing._logits(t[0::2], t[1::2]) for t in tables]
     for i, ws in words.items():
         for w in ws:
@@ -263,6 +269,6 @@ def test_lm_odd_tables(spark):
 
 
 def test_lm_beats_the_base_and_knows_what_it_read(spark):
-    got = context_mixing.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), crc_mod(F.col("doc_id"), 5) == 1)
+    got = context_mixing.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), crc_mod(F.col("doc_id"), 5) == 1)
     r = got.groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
-    assert all(x.s > x.b for x in r)
+    assert all(x.s > (0.95 if x.held_out else 0.75) * x.b for x in r)
