@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
-    cluster names one, else (tests on one machine) a temporary folder."""
+    cluster names one, else, in local mode only, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lakewarden-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -52,3 +57,22 @@ def crc_mod_py(doc_id, k: int) -> int:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def mapped(docs: DataFrame, keep: list[str], inputs: list[Column], fn: Callable[[list[pa.Array]], list[pa.Array]], out: str) -> DataFrame:
+    """The columns ``keep``, untouched, beside what ``fn`` makes of ``inputs`` in slices of at
+    most 1000 rows; ``out`` is the schema of that. Values stay in Arrow, so that ids keep all
+    their bits beside nulls, and names of ``keep`` may be any, also repeated."""
+    own = [docs[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*own, *(c.alias(f"x{i}") for i, c in enumerate(inputs)))
+    n = len(keep)
+    names = [f.name for f in StructType.fromDDL(out)]
+    kinds = StructType([*rows.schema.fields[:n], *StructType.fromDDL(out).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                some = batch.slice(a, 1000)
+                yield pa.RecordBatch.from_arrays([*some.columns[:n], *fn(some.columns[n:])], [f"k{i}" for i in range(n)] + names)
+
+    return rows.mapInArrow(run, kinds).toDF(*keep, *names)

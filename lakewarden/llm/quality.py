@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .labelled import sample
 
 #: Slots for words, bins of a statistic, factors, labelled documents used at most.
@@ -121,13 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality
     """``use`` says, over columns k (the id) and label, which labels may be learned from."""
     rows = sample(docs, labels, label, use, most, extra=metadata)
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [features(t, list(m)) for t, m in zip(pdf["text"], pdf[list(metadata)].to_numpy(float), strict=True)]
-            yield pd.DataFrame({"label": pdf["label"], "i": [i.tobytes() for i, _ in got], "x": [x.tobytes() for _, x in got]})
+    def extract(columns: list[pa.Array]) -> list[pa.Array]:
+        texts, *meta = (c.to_pylist() for c in columns)
+        got = [features(t, list(m)) for t, *m in zip(texts, *meta, strict=True)]
+        return [pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())]
 
+    numbers = [F.col(f"extra{i}").cast("double") for i in range(len(metadata))]
     # at most ``most`` rows of features
-    kept = rows.mapInPandas(extract, "label int, i binary, x binary").collect()
+    kept = mapped(rows, ["label"], [F.col("text"), *numbers], extract, "i binary, x binary").collect()
     kept.sort(key=lambda r: (bytes(r.i), r.label))
     pairs = [(np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float32)) for r in kept]
     return fit(pairs, np.array([r.label for r in kept], np.float32), WORDS + (STATS + len(metadata)) * (BINS + 1))
@@ -135,18 +136,12 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality
 
 def score(docs: DataFrame, model: FactorisationMachine, keep: list[str], metadata: tuple[str, ...] = ("n_chars",), text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and score, the probability of label 1 for each whole text. Null
-    texts are empty, null metadata count as zero; rows come back as often as they came."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a fixed size
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *(F.col(m).cast("double").alias(f"_meta{i}") for i, m in enumerate(metadata)))
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a : a + 500]
-                metas = part[[f"_meta{i}" for i in range(len(metadata))]].to_numpy(float)
-                got = [features(t, list(m)) for t, m in zip(part["_text"], metas, strict=True)]
-                yield part[keep].assign(score=shared.value.scores(got))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInPandas(apply, f"{kinds}, score double")
+    texts are empty, null metadata count as zero; rows come back as often as they came, an
+    empty table gives an empty one, and other columns are not read."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
+
+    def apply(columns: list[pa.Array]) -> list[pa.Array]:
+        texts, *meta = (c.to_pylist() for c in columns)
+        return [pa.array(shared.value.scores([features(t, list(m)) for t, *m in zip(texts, *meta, strict=True)]), pa.float64())]
+
+    return mapped(docs, keep, [F.coalesce(F.col(text_col), F.lit("")), *(F.col(m).cast("double") for m in metadata)], apply, "score double")

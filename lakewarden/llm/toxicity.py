@@ -9,7 +9,7 @@ word costs one look-up a character until no entry can match. How many edits an e
 allows grows with its length.
 
 A hit's window says whether it is abuse or quotation: hits inside quotation marks or
-soon after words of report count apart. Counts of exact, misspelled, stem and quoted hits,
+a few words after a word of report, or before one in the same sentence, count apart. Counts (as square roots, from four on alike) of exact, misspelled, stem and quoted hits,
 and their density, go into a logistic score, fitted to the labelled documents around
 given prior weights, so that kinds of hits that labels never show keep their weight.
 """
@@ -22,26 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import mapped, materialise
 from .decontaminate import shingle_hashes, words
 from .labelled import sample
 
-#: Labelled documents used at most; least and greatest length of a beginning.
+#: Labelled documents used at most; least and greatest length of a beginning. A longer word
+#: hangs, whole, below its longest beginning.
 SAMPLE, SHORTEST, LONGEST = 12_000, 3, 14
 #: Least toxic documents of an entry, as a number and as a share, and least log-odds.
 LEAST, SHARE, ODDS = 5, 0.02, 3.0
 #: States of the automaton and words remembered at most, by each worker.
 STATES, WORDS = 50_000, 400_000
 WINDOW = 4
-#: Clean near words that are remembered.
-FRIENDS = 20_000
 
 _WORD = re.compile(r"\w+")
+_SENTENCE_END = re.compile(r"[.!?\n]")
 _LEET = str.maketrans("013457", "oieast")
-_QUOTES = re.compile("\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]")
+_QUOTES = re.compile("\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]")
 #: Words that report what someone said.
 _REPORT = frozenset("said says say quote quoted quotes wrote word term called reported dit écrit mot terme sagte schrieb wort dijo escribió palabra".split())
 
@@ -50,10 +51,15 @@ def _beginnings(text: str) -> set[str]:
     out = set()
     for w in set(_WORD.findall(text.lower())):
         out.update(w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1))
-        out.add(w[:LONGEST] + "$")
+        out.add(w + "$")
     return out
 
 
+def _parent(b: str) -> str:
+    """The beginning that a beginning, or a whole word (it ends with ``$``), hangs below."""
+    return b[:-1][:LONGEST] if b.endswith("$") else b[:-1]
+
+
 def without_copies(rows: DataFrame) -> DataFrame:
     """One of the rows whose texts share a label and the least hash of their five-word
     shingles: the words of a text that was copied often must not pass for toxic terms."""
@@ -62,7 +68,7 @@ def without_copies(rows: DataFrame) -> DataFrame:
     return materialise(w.withColumn("least", least).dropDuplicates(["label", "least"]).select("label", "text"), "labelled")
 
 
-def learn_lexicon(rows: DataFrame, most: int = 2000) -> list[tuple[str, bool]]:
+def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
     """(entry, is a stem) from rows of label and text."""
     totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     p, n = totals.get(1, 0), totals.get(0, 0)
@@ -94,7 +100,7 @@ def learn_lexicon(rows: DataFrame, most: int = 2000) -> list[tuple[str, bool]]:
     good = {b for b, x in odds.items() if x >= ODDS}
     below: dict[str, list[str]] = {}
     for b in good:
-        below.setdefault(b[:-1], []).append(b)
+        below.setdefault(_parent(b), []).append(b)
     entries: list[tuple[str, bool]] = []
 
     def follow(b: str) -> None:
@@ -111,10 +117,10 @@ def learn_lexicon(rows: DataFrame, most: int = 2000) -> list[tuple[str, bool]]:
             entries.append((b, True))
 
     for b in sorted(good):
-        if b[:-1] not in good:
+        if _parent(b) not in good:
             follow(b)
     entries.sort(key=lambda e: (-odds.get(e[0] + "$", odds.get(e[0], 0)), e))
-    return entries[:most]
+    return entries
 
 
 class Matcher:
@@ -245,6 +251,9 @@ def hits(text: str, matcher: Matcher) -> list[tuple[int, int, int, bool, bool]]:
         got = match(m.group())
         if got:
             near = {x.group() for x in found[max(0, i - WINDOW) : i]}
+            rest = found[i + 1 : i + 1 + WINDOW]
+            end = _SENTENCE_END.search(low, m.end(), rest[-1].start()) if rest else None
+            near |= {x.group() for x in rest if end is None or x.start() < end.start()}
             quoted = any(a <= m.start() and m.end() <= b for a, b in spans) or bool(near & _REPORT)
             out.append((m.start(), m.end(), got[0], got[1], quoted))
     return out
@@ -285,7 +294,7 @@ def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0, rounds: int = 100) -> n
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", most: int = SAMPLE) -> tuple[list[tuple[str, bool]], np.ndarray, frozenset[str]]:
     """Lexicon, weights, and the words of clean documents that are near an entry without being
-    one (at most FRIENDS; they are no misspellings). ``use`` says, over k (the id) and label, what may be learned from."""
+    one (they are no misspellings; all come from the bounded sample). ``use`` says, over k (the id) and label, what may be learned from."""
     rows = without_copies(sample(docs, labels, label, use, most))
     entries = learn_lexicon(rows)
 
@@ -296,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic",
             if found:
                 yield pd.DataFrame({"w": sorted(found)})
 
-    clean = rows.where("label = 0").mapInPandas(near, "w string").groupBy("w").count().orderBy(F.desc("count"), "w").limit(FRIENDS)
+    clean = rows.where("label = 0").mapInPandas(near, "w string").distinct()
     friends = frozenset(r.w for r in clean.collect())
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,15 +319,17 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic",
 
 def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray, frozenset[str]], keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep``, score (0 to 1) and hits (whether a term was met) of each
-    whole text; null texts are empty, and a text without hits has the score of the bias."""
-    entries, weights, friends = model
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    whole text; null texts are empty, and a text without hits has the score of the bias. Rows
+    come back as often as they came, an empty table gives an empty one, and other columns are
+    not read."""
+    # lexicon and near words come from a bounded sample of documents
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def apply(columns: list[pa.Array]) -> list[pa.Array]:
+        entries, weights, friends = shared.value
         matcher = matcher_of(entries, friends)
-        for pdf in batches:
-            x = np.array([measures(t, matcher) for t in pdf["_text"]]).reshape(len(pdf), len(PRIOR))
-            yield pdf[keep].assign(score=1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), hits=(x[:, 1:6].sum(axis=1) > 0))
+        x = np.array([measures(t, matcher) for t in columns[0].to_pylist()]).reshape(-1, len(PRIOR))
+        z = np.clip((x * weights).sum(axis=1), -30, 30)
+        return [pa.array(1 / (1 + np.exp(-z))), pa.array(x[:, 1:6].sum(axis=1) > 0)]
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInPandas(apply, f"{kinds}, score double, hits boolean")
+    return mapped(docs, keep, [F.coalesce(F.col(text_col), F.lit(""))], apply, "score double, hits boolean")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakewarden.llm import context_mixing, quality, toxicity
+from lakewarden.llm import context_mixing, labelled, quality, toxicity
 from lakewarden.llm.common import crc_mod, crc_mod_py
 
 
@@ -83,6 +83,35 @@ def test_toxicity_on_held_out(corpus):
     assert odd[0] == [] and 0 <= toxicity.score(docs, odd, ["doc_id"]).first().score < 0.5
 
 
+def test_long_terms_and_their_misspellings(spark):
+    r = random.Random(4)
+    term = "abominablescoundrelous"
+    say = lambda: " ".join("".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(3)) for _ in range(20))
+    docs = [(i, say() + (f" {term}" if i % 3 == 0 else "")) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True))
+    assert (term, False) in model[0]
+    odd = [(1, f"you {term}"), (2, "you abominablescoundrelus"), (3, f"you {term}x and"), (4, f'"{"so " * 200}{term}" and'), (5, f"a {term}, he said"), (6, "x" * 300_000), (2**60 + 1, None), (None, "")]
+    got = toxicity.score(spark.createDataFrame(odd, "doc_id long, text string").coalesce(1), model, ["doc_id"])
+    by = {x.doc_id: x for x in got.collect()}
+    assert [by[k].score >= 0.7 for k in (1, 2, 3, 4, 5, 6)] == [True, True, True, False, False, False] and 2**60 + 1 in by and None in by
+
+
+def test_clashing_columns_and_exact_ids(spark, corpus):
+    docs, labels = corpus
+    kinds = "doc_id long, text string, n_chars long, score string, hits string, _text string, x0 int, label string, k string"
+    odd = spark.createDataFrame([(2**60 + 1, "a b", 3, "s", "h", "t", 1, "l", "k"), (None, None, None, None, None, None, None, None, None), (7, "c " * 50_000, 5, "s", "h", "t", 2, "l", "k")], kinds)
+    for model, op in ((quality.train(docs, labels, F.lit(True)), quality), (toxicity.train(docs, labels, F.lit(True)), toxicity)):
+        rows = op.score(odd, model, odd.columns).toDF(*(f"c{i}" for i in range(9 + (2 if op is toxicity else 1)))).collect()
+        assert {x.c0 for x in rows} == {2**60 + 1, None, 7} and {x.c3 for x in rows} == {"s", None} and all(0 <= x.c9 <= 1 for x in rows)
+
+
+def test_sample_of_repeated_ids_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 3, f"t{i}", i) for i in range(3000)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert 0 < labelled.sample(docs, labels, "quality", F.lit(True), 100).count() < 250
+
+
 def test_quality_on_held_out(corpus):
     docs, labels = corpus
     model = quality.train(docs, labels, crc_mod(F.col("k"), 4) != 2)
@@ -271,4 +300,4 @@ def test_lm_odd_tables(spark):
 def test_lm_beats_the_base_and_knows_what_it_read(spark):
     got = context_mixing.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), crc_mod(F.col("doc_id"), 5) == 1)
     r = got.groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
-    assert all(x.s > (0.95 if x.held_out else 0.75) * x.b for x in r)
+    assert all(x.s > (0.95 if x.held_out else 0.85) * x.b for x in r)
