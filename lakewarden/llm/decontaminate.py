@@ -9,19 +9,24 @@ misses at most s - ceil(threshold * s) of them, so it holds one of the sketch. A
 document whose hashes meet no sketch contains no item, at any length; the others are
 verified by exact containment of the shingles' texts.
 
-Only DataFrame functions are used: hashes stay arrays within their row, and a row is
-expanded only once it has met a sketch.
+Only DataFrame functions are used. Hashes stay arrays within their row; those that pass a
+Bloom filter of the sketches, of a fixed size, leave it to be joined with the sketches. The
+more sketches there are, the more hashes pass it in vain; the result is the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Sketch hashes that may travel to every task as a literal; beyond them hashes are joined.
-LITERAL_HASHES = 200_000
+#: Slots of the filter of sketch hashes, a byte each, which travels with the plan; places that a
+#: hash takes in it.
+FILTER_SLOTS, PROBES = 1 << 18, (0, 15, 30, 45)
 
 
 def words(text: Column) -> Column:
@@ -50,29 +55,31 @@ def sketches(items: DataFrame, width: int, threshold: float, id_col: str = "item
     return sized.select("item_id", "size", "shingles", F.slice(F.array_sort("h"), F.lit(1), F.col("size") - needed + 1).alias("sketch"))
 
 
+def _passes(sketched: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be one of the sketches: false only if it is none."""
+    at = lambda h, k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(FILTER_SLOTS - 1)).cast("int")
+    places = sketched.select(F.explode("sketch").alias("h")).select(F.explode(F.array(*(at(F.col("h"), k) for k in PROBES))).alias("at"))
+    slots = bytearray(FILTER_SLOTS)
+    for r in places.distinct().collect():  # FILTER_SLOTS at the most
+        slots[r["at"]] = 1
+    held, one = F.lit(bytes(slots)), F.lit(b"\x01")
+    return lambda h: reduce(lambda x, y: x & y, (F.substring(held, at(h, k) + 1, F.lit(1)) == one for k in PROBES))
+
+
 def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, shared, size, containment (shared / size) of every pair whose
     containment reaches the threshold.
 
     A document row is judged on its own; rows with the same doc_id give one pair each, as
     do items with the same id. Null or short texts hold no shingle and so contain nothing;
-    a null doc_id is kept as it is. Without items the result is empty."""
+    a null doc_id is kept as it is. Without items the result is empty. Other columns are
+    not read."""
     sketched = materialise(sketches(items, width, threshold, item_id_col, item_text_col), "sketches")
-    hashes = sketched.select(F.explode("sketch").alias("h"), F.monotonically_increasing_id().alias("k")).groupBy("h").agg(F.count("*").alias("n"))
-    size = sketched.agg(F.sum(F.size("sketch")).alias("n")).first()["n"] or 0
     # the row number also keeps the optimiser from moving the words into the lambdas below,
     # where they would be split again for every shingle
     base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"), F.monotonically_increasing_id().alias("row"))
-    if size <= LITERAL_HASHES:
-        known = sorted(r.h for r in hashes.select("h").collect())
-        met = F.array_intersect(shingle_hashes(F.col("w"), width), F.lit(known).cast("array<long>") if known else F.array().cast("array<long>"))
-        rows = base.select("doc_id", "row", "w", met.alias("met")).where(F.size("met") > 0)
-    else:
-        keyed = materialise(base, "documents")
-        probes = keyed.select("row", F.explode(F.array_distinct(shingle_hashes(F.col("w"), width))).alias("h"))
-        met = probes.join(hashes.select("h"), "h").groupBy("row").agg(F.collect_list("h").alias("met"))
-        rows = keyed.join(met, "row").select("doc_id", "row", "w", "met")
-    rows = materialise(rows, "candidates")
+    met = F.filter(shingle_hashes(F.col("w"), width), _passes(sketched))
+    rows = materialise(base.select("doc_id", "row", "w", F.array_distinct(met).alias("met")).where(F.size("met") > 0), "candidates")
     # pairs to verify: ids only, then the texts of both sides
     by_hash = sketched.withColumn("item", F.monotonically_increasing_id())
     by_hash = materialise(by_hash, "items")
