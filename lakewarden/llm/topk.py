@@ -1,6 +1,7 @@
 """Operator 5, exact top-k by inner product over a pivot-distance index.
 
-Index. Every vector is keyed by its nearest pivot and its distance to it. Sorted by that
+Index. Equal vectors are one row with their k + 1 least ids: no query takes more of them.
+Every row is keyed by its nearest pivot and its distance to it. Sorted by that
 key the table is cut into blocks: annuli around a pivot, at most ``BLOCK`` vectors each,
 with their range of distances and norms.
 
@@ -10,7 +11,8 @@ pivot p at distances [d0, d1] and norms up to n, the triangle inequality gives
 q.v <= (|q|^2 + n^2 - that^2) / 2, and Cauchy-Schwarz gives q.v <= q.p + |q| d1. First
 each query searches the annuli that promise most, expanding until it has k scores; the
 k-th is its threshold. Then it visits the other blocks whose bound reaches the
-threshold, and no others. Scores are integers below 2^53, so all sums are exact.
+threshold, and no others. Sums are exact, since all
+scores lie below 2^53; a vector whose square does not is an error.
 """
 
 from __future__ import annotations
@@ -66,8 +68,22 @@ def _load(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, kind, offset=1).reshape(n, -1).astype(np.float64)
 
 
-KEYED = "vec_id long, v array<double>, pivot int, d double"
-BLOCKS = "id long, pivot int, lo double, hi double, norm double, n int, ids binary, vecs binary"
+KEYED = "vec_id long, ids array<long>, v array<double>, pivot int, d double"
+BLOCKS = "id long, pivot int, lo double, hi double, norm double, n int, ids binary, counts binary, vecs binary"
+
+
+def _one_size(rows: DataFrame, size: int) -> DataFrame:
+    """Shorter vectors get zeros at their end, which change no product."""
+    return rows.withColumn("v", F.when(F.size("v") == size, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("v")))))
+
+
+def _collapsed(rows: DataFrame, k: int) -> DataFrame:
+    """vec_id (the least), ids, v: a row for each different vector, with its k + 1 least ids, a
+    repeated id k times at the most."""
+    each = rows.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    least = each.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("at") <= k + 1)
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "n"))), lambda x: F.array_repeat(x["vec_id"], x["n"])))
+    return least.groupBy("v").agg(ids.alias("ids")).select(F.get("ids", F.lit(0)).alias("vec_id"), "ids", "v")
 
 
 def _keyed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -77,6 +93,8 @@ def _keyed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy())
+                if (x**2).sum(axis=1).max() >= 2.0**53:
+                    raise ValueError("the vectors are too long: their scores would not be exact")
                 far = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ pivots.T + square, 0)
                 near = far.argmin(axis=1)
                 yield pdf.assign(pivot=near.astype(np.int32), d=np.sqrt(far[np.arange(len(x)), near]))
@@ -106,7 +124,7 @@ def _blocks(keyed: DataFrame, size: int, name: str) -> DataFrame:
 
     def row(i: int, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["v"].to_numpy())
-        return pd.DataFrame({"id": [i], "pivot": [int(pdf["pivot"].iloc[0])], "lo": [pdf["d"].min()], "hi": [pdf["d"].max()], "norm": [np.sqrt((x**2).sum(axis=1).max())], "n": [len(x)], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vecs": [_dump(x)]})
+        return pd.DataFrame({"id": [i], "pivot": [int(pdf["pivot"].iloc[0])], "lo": [pdf["d"].min()], "hi": [pdf["d"].max()], "norm": [np.sqrt((x**2).sum(axis=1).max())], "n": [len(x)], "ids": [np.concatenate(pdf["ids"].to_list()).astype(np.int64).tobytes()], "counts": [pdf["ids"].map(len).to_numpy(np.int64).tobytes()], "vecs": [_dump(x)]})
 
     ordered = keyed.repartitionByRange(n, "pivot", "d", "vec_id").sortWithinPartitions("pivot", "d", "vec_id")
     return materialise(ordered.mapInPandas(pack, BLOCKS), name)
@@ -138,15 +156,21 @@ def _search(k: int, with_threshold: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                qid, vid = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q, x = _load(r.q_vecs, len(qid)), _load(r.vecs, len(vid))
+                qid, vid, counts = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int64)
+                q, x, starts = _load(r.q_vecs, len(qid)), _load(r.vecs, len(counts)), np.cumsum(counts) - counts
                 scores = q @ x.T
                 floor = np.frombuffer(r.floor) if with_threshold else np.full(len(qid), -np.inf)
                 last = np.frombuffer(r.last, np.int64) if with_threshold else np.zeros(len(qid), np.int64)
                 out = []
                 for i in np.flatnonzero(scores.max(axis=1) >= floor):
-                    ok = ((scores[i] > floor[i]) | (scores[i] == floor[i]) & (vid < last[i])) & (vid != qid[i])
-                    ids, own = vid[ok], scores[i][ok]
+                    # the k + 1 best vectors, and those that tie with the last: one may be the query's own
+                    least = floor[i] if len(counts) <= k + 1 else max(floor[i], np.partition(scores[i], len(counts) - k - 1)[len(counts) - k - 1])
+                    some = np.flatnonzero(scores[i] >= least)
+                    n = counts[some]
+                    ids = vid[np.arange(n.sum()) + np.repeat(starts[some] - (np.cumsum(n) - n), n)]
+                    own = np.repeat(scores[i][some], n)
+                    ok = ((own > floor[i]) | (own == floor[i]) & (ids < last[i])) & (ids != qid[i])
+                    ids, own = ids[ok], own[ok]
                     at = _best(ids, own, k)
                     out.append(pd.DataFrame({"qb": r.qb, "query_id": qid[i], "vec_id": ids[at], "score": own[at].astype(np.int64)}))
                 if out:
@@ -166,14 +190,17 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows of highest inner product,
     all if fewer, without rows of the query's own id; ties to the smaller id. ``rows`` and
-    ``queries`` are as ``quantise`` makes them, all of one dimension; repeated ids are
-    separate candidates, repeated query ids one query. Empty tables give an empty one."""
-    rows = materialise(rows, "vectors")
+    ``queries`` are as ``quantise`` makes them; a shorter vector counts as followed by zeros.
+    Repeated ids are separate candidates, repeated query ids one query. Empty tables give an
+    empty one."""
+    size = max(t.agg(F.max(F.size("v"))).first()[0] or 0 for t in (rows, queries))
+    queries = _one_size(queries, size)
+    rows = materialise(_collapsed(_one_size(rows, size), k), "vectors")
     p = choose_pivots(rows, pivots)
     if not len(p):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     index = _blocks(_keyed(rows, p), BLOCK, "index")
-    asked = _blocks(_keyed(queries.dropDuplicates(["vec_id"]), p), QUERIES, "queries")
+    asked = _blocks(_keyed(queries.dropDuplicates(["vec_id"]).select("vec_id", F.array("vec_id").alias("ids"), "v"), p), QUERIES, "queries")
     q = asked.select(F.col("id").alias("qb"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
     # a row per index block: summaries only
     about = index.select("id", "pivot", "lo", "hi", "norm", "n")
@@ -198,7 +225,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS
     # summaries travel in chunks to every query block: blocks against blocks, no vectors
     chunked = about.groupBy(F.pmod(F.xxhash64("id"), F.lit(_chunks(about))).alias("c")).agg(F.collect_list(F.struct("id", "pivot", "lo", "hi", "norm", "n")).alias("about"))
     seeds = q.crossJoin(chunked).mapInPandas(plan(True), "qb long, id long")
-    blocks = index.select("id", "ids", "vecs")
+    blocks = index.select("id", "ids", "counts", "vecs")
     seeds = materialise(seeds, "seeds")
     found = materialise(seeds.join(q, "qb").join(blocks, "id").mapInPandas(_search(k, False), FOUND), "found")
     # the k-th row so far: only rows that would stand before it can still matter

@@ -133,6 +133,22 @@ def test_topk_is_exact(spark, n, k, monkeypatch):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == topk_brute(vecs, {i for i, _ in vecs if i is not None and i % 20 == 0}, k)
 
 
+def test_topk_of_copies_odd_sizes_and_repeated_ids(spark):
+    vecs = [(i, [1.0, 2.0, 3.0]) for i in range(200)] + [(200 + i, [float(i % 7), 1.0]) for i in range(60)]
+    got = topk.top_k(rows := topk.quantise(spark.createDataFrame(vecs, "vec_id long, embedding array<double>")), rows.where("vec_id % 20 = 0"), 6).collect()
+    padded = [(i, (v + [0.0])[:3]) for i, v in vecs]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == topk_brute(padded, {i for i, _ in vecs if i % 20 == 0}, 6)
+    rows = topk.quantise(spark.createDataFrame([(1, [1.0])] * 9 + [(0, [1.0]), (2, [1.0])], "vec_id long, embedding array<double>"))
+    got = topk.top_k(rows, rows.where("vec_id < 2"), 4).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 1), (1, 1, 0), (1, 2, 2)]
+
+
+def test_topk_refuses_what_it_cannot_score_exactly(spark):
+    rows = topk.quantise(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="would not be exact"):
+        topk.top_k(rows, rows, 2).collect()
+
+
 def test_topk_of_nothing(spark):
     df = topk.quantise(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(df, df, 3).count() == 0
@@ -148,7 +164,7 @@ def grams(text):
 @pytest.mark.parametrize("literal", [True, False])
 def test_containment_equals_brute_force(spark, literal, monkeypatch):
     if not literal:
-        monkeypatch.setattr(decontaminate, "LITERAL_HASHES", 0)
+        monkeypatch.setattr(decontaminate, "FILTER_SLOTS", 2)  # all pass in vain
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(400)] + ["Élan", "naïve"]
     say = lambda n: [r.choice(vocab) for _ in range(n)]
