@@ -37,47 +37,60 @@ def features(text: str) -> dict[str, float]:
 def chunk_text(text: str, target: int = 512, overlap: int = 64) -> list[tuple[str, str, int]]:
     """(section, content, tokens) of a Markdown text, whole sentences only.
 
-    A heading closes what is gathered if it is at least max(80, target // 2) tokens; a
-    sentence closes it at the target and carries trailing sentences of at most ``overlap``
-    tokens over. Text before the first heading is dropped when a heading comes."""
+    Sentences are joined by blanks, and the estimate is that of the joined text. A heading
+    closes what is gathered if it is at least max(80, target // 2) tokens, and stays in the
+    text; a sentence closes it at the target and carries trailing sentences of at most
+    ``overlap`` tokens over. What is gathered before the first heading is dropped when that
+    comes. A chunk is labelled by the headings that were open when it began."""
     out: list[tuple[str, str, int]] = []
     held: list[str] = []
+    counts = [0, 0]  # CJK characters and words held; a blank keeps words apart, so they add up
     stack: list[tuple[int, str]] = []
-    label, headed = "(untitled)", False
-    tokens = lambda parts: sum(map(estimate_tokens, parts))
+    label = "(untitled)"
+
+    def hold(parts: list[str]) -> None:
+        held.extend(parts)
+        counts[0] += sum(len(_CJK.findall(p)) for p in parts)
+        counts[1] += sum(len(_WORD.findall(p)) for p in parts)
+
+    def drop() -> None:
+        held.clear()
+        counts[:] = 0, 0
+
+    def estimate() -> int:
+        return counts[0] + int(counts[1] * 1.3) + 1
 
     def close(carry: bool) -> None:
-        nonlocal held
-        if not held:
-            return
-        content = "".join(held)
-        out.append((label, content, estimate_tokens(content)))
+        content = " ".join(held).strip()
+        if content:
+            out.append((label, content, estimate_tokens(content)))
         kept: list[str] = []
-        if carry and overlap:
-            for s in reversed(held[:-1]):
-                if tokens([s, *kept]) > overlap:
-                    break
-                kept.insert(0, s)
-        held = kept
+        room = overlap
+        for s in reversed(held[:-1]) if carry else ():
+            room -= estimate_tokens(s)
+            if room < 0:
+                break
+            kept.insert(0, s)
+        drop()
+        hold(kept)
 
     for line in text.splitlines():
         m = _HEADING.match(line)
         if m:
-            if tokens(held) >= max(80, target // 2):
+            if not stack:
+                drop()
+            elif held and estimate() >= max(80, target // 2):
                 close(False)
-            elif not headed:
-                held = []
-            headed = True
-            level = len(m[1])
-            stack = [x for x in stack if x[0] < level] + [(level, m[2])]
+            level, title = len(m[1]), m[2].strip()
+            stack = [x for x in stack if x[0] < level] + [(level, title)]
             if not held:
                 label = " / ".join(t for _, t in stack)
-            held.append(m[2] + "。")
+            hold([title + "。"])
             continue
         for s in (x.strip() for x in _SENTENCE.findall(line)):
             if s:
-                held.append(s)
-                if tokens(held) >= target:
+                hold([s])
+                if estimate() >= target:
                     close(True)
     close(False)
     return out
@@ -101,26 +114,31 @@ def chunk_sentences(docs: DataFrame, key: str, text: str, target: int) -> DataFr
     without headings, in Columns alone: a fold over the sentences of a row."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     found = F.flatten(F.transform(lines, lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(SENTENCE), F.lit(0)), F.trim), lambda s: s != "")))
-    sized = docs.select(F.col(key), F.transform(found, token_estimate).alias("t"), F.monotonically_increasing_id().alias("_row"))
-    start = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<tokens:bigint,sentences:bigint>>").alias("out"))
+    sized = docs.select(F.col(key), F.transform(found, lambda s: F.struct(F.regexp_count(s, F.lit(CJK)).cast("long").alias("c"), F.regexp_count(s, F.lit(WORD)).cast("long").alias("w"))).alias("t"), F.monotonically_increasing_id().alias("_row"))
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("c"), none.alias("w"), none.alias("n"), F.array().cast("array<struct<tokens:bigint,sentences:bigint>>").alias("out"))
+    estimate = lambda c, w: (c + F.floor(w * F.lit(1.3)) + 1).cast("long")
 
     def step(acc, t):
-        tokens, n = acc["tokens"] + t, acc["n"] + 1
-        full = tokens >= target
-        done = F.concat(acc["out"], F.array(F.struct(tokens.alias("tokens"), n.alias("sentences"))))
-        return F.struct(F.when(full, F.lit(0)).otherwise(tokens).cast("long").alias("tokens"), F.when(full, F.lit(0)).otherwise(n).cast("long").alias("n"), F.when(full, done).otherwise(acc["out"]).alias("out"))
+        c, w, n = acc["c"] + t["c"], acc["w"] + t["w"], acc["n"] + 1
+        full = estimate(c, w) >= target
+        done = F.concat(acc["out"], F.array(F.struct(estimate(c, w).alias("tokens"), n.alias("sentences"))))
+        left = lambda x: F.when(full, none).otherwise(x)
+        return F.struct(left(c).alias("c"), left(w).alias("w"), left(n).alias("n"), F.when(full, done).otherwise(acc["out"]).alias("out"))
 
-    end = lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct(acc["tokens"].alias("tokens"), acc["n"].alias("sentences"))))).otherwise(acc["out"])
+    end = lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct(estimate(acc["c"], acc["w"]).alias("tokens"), acc["n"].alias("sentences"))))).otherwise(acc["out"])
     rows = sized.select(key, F.posexplode(F.aggregate("t", start, step, end)).alias("chunk_no", "c"))
     return rows.select(key, F.col("chunk_no").cast("long").alias("chunk_no"), "c.tokens", "c.sentences")
 
 
 def build_idf(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """token, df, idf = round(ln(1 + N / df), 3); df counts chunks."""
-    n = chunks.agg(F.count("*").alias("n"))
-    tokens = F.array_distinct(F.concat(word_features(F.col(text)), cjk_features(F.col(text))))
+    """token, df, idf = round(ln(1 + N / df), 3); df counts chunks. N is counted in the same
+    pass, under a token that no text holds."""
+    every = "\n"
+    tokens = F.array_distinct(F.concat(word_features(F.col(text)), cjk_features(F.col(text)), F.array(F.lit(every))))
     df = chunks.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n), F.lit(True)).select("token", "df", F.round(F.log(1 + F.col("n") / F.col("df")), 3).alias("idf"))
+    n = df.where(F.col("token") == every).select(F.col("df").alias("n"))
+    return df.where(F.col("token") != every).join(F.broadcast(n), F.lit(True)).select("token", "df", F.round(F.log(1 + F.col("n") / F.col("df")), 3).alias("idf"))
 
 
 def tfidf_top(chunks: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -167,6 +185,56 @@ def embed_chunks(chunks: DataFrame, idf: DataFrame, key: str = "chunk_id", text:
     return norm.select(key, dense.alias("vector"))
 
 
+class Embedder:
+    """Vectors for texts, offline. What a store was built with, it has to be asked with: the
+    dimension is checked, and the weights travel with the store."""
+
+    def __init__(self, dim: int = DIM, idf: DataFrame | None = None) -> None:
+        if dim < 1:
+            raise ValueError("a vector has one dimension at least")
+        self.dim, self.idf = dim, idf
+
+    @property
+    def label(self) -> str:
+        return f"offline / hashed words{' + corpus idf' if self.idf is not None else ''} / {self.dim}d"
+
+    def one(self, text: str) -> list[float]:
+        """The vector of a question; only the weights of its own words are fetched."""
+        own = features(text)
+        weights = None
+        if self.idf is not None:
+            weights = {r["token"]: r["idf"] for r in self.idf.where(F.col("token").isin(list(own))).collect()} if own else {}
+        return embed(text, weights, self.dim)
+
+    def many(self, chunks: DataFrame, key: str, text: str = "content") -> DataFrame:
+        """key, vector of each row that has a word."""
+        idf = build_idf(chunks, text).withColumn("idf", F.lit(1.0)) if self.idf is None else self.idf
+        return embed_chunks(chunks, idf, key, text, self.dim)
+
+    def check(self, chunks: DataFrame) -> None:
+        """An error if a store's vectors are of another size."""
+        odd = chunks.where(F.size("vector") != self.dim).select(F.size("vector").alias("n")).head(1)
+        if odd:
+            raise ValueError(f"the store holds vectors of {odd[0]['n']} numbers, the embedder makes {self.dim}")
+
+
+def ingest(docs: DataFrame, store: "ChunkStore", version: str, embedder: Embedder | None = None, target: int = 512, overlap: int = 64, source: str = "source", text: str = "text") -> DataFrame:
+    """Read, chunk, weigh, embed, replace: the chunks with their vectors as the store then
+    holds them. The weights are this corpus' own and are stored beside the chunks; what the
+    version held before is gone. Chunks without a word get a zero vector. Documents with a null
+    text give no chunk."""
+    embedder = embedder or Embedder()
+    chunks = chunk_documents(docs, target, overlap, source, text).withColumn("chunk_id", F.concat_ws("#", "source", F.col("chunk_no").cast("string")))
+    store.save(chunks, f"{version}.plain")
+    plain = store.chunks(f"{version}.plain")
+    embedder.idf = store.idf(f"{version}.plain")
+    zero = F.array_repeat(F.lit(0.0), embedder.dim)
+    vectors = plain.join(embedder.many(plain, "chunk_id"), "chunk_id", "left").withColumn("vector", F.coalesce("vector", zero))
+    store.save(vectors, version, embedder.idf)
+    embedder.idf = store.idf(version)
+    return store.chunks(version)
+
+
 class ChunkStore:
     """Chunks and their IDF in one versioned folder, so that they cannot drift apart."""
 

@@ -23,36 +23,44 @@ def search(rows: DataFrame, query: list[float], k: int | None = 5, floor: float
     return best.where(F.col("_s") >= floor).withColumn("score", F.round("_s", 4)).drop("_s")
 
 
-def search_batch(rows: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", row_id: str = "vec_id", query_id: str = "query_id", query_vec: str = "query_vec", exclude_self: bool = True) -> DataFrame:
-    """query_id, rank, row_id, score (unrounded) for a stated, bounded set of queries.
+#: Queries and rows in a block.
+QUERY_BLOCK, ROW_BLOCK = 512, 4096
+
+
+def _blocked(df: DataFrame, key: str, vec: str, size: int) -> DataFrame:
+    """ids, vecs: blocks of about ``size`` rows, dealt by the hash of their ids."""
+    some = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    blocks = F.lit(max(1, -(-some.count() // size)))
+    packed = some.groupBy(F.pmod(F.xxhash64("id", F.hash("v")), blocks).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    return packed.select(F.col("r.id").alias("ids"), F.flatten("r.v").alias("vecs"))
+
 
-    Each partition keeps k rows a query before anything is shuffled."""
+def search_batch(rows: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", row_id: str = "vec_id", query_id: str = "query_id", query_vec: str = "query_vec", exclude_self: bool = True) -> DataFrame:
+    """query_id, rank, row_id, score (unrounded) of a stated set of queries against all rows,
+    blocks of queries against blocks of rows; a pair of blocks keeps k rows a query. Rows and
+    queries without an id or a vector take no part."""
     import numpy as np
     import pandas as pd
 
-    asked = queries.select(query_id, query_vec).collect()
-    ids = np.array([r[0] for r in asked], dtype=object)
-    q = np.array([r[1] for r in asked], float).reshape(len(asked), -1)
-
     def scan(batches):
-        held: list[pd.DataFrame] = []
         for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(float)
-            own = pdf["id"].to_numpy()
-            s = q @ x.T
-            for i in range(len(ids)):
-                ok = np.flatnonzero(own != ids[i]) if exclude_self else np.arange(len(own))
-                at = ok[np.lexsort((own[ok], -s[i][ok]))[:k]]
-                held.append(pd.DataFrame({query_id: ids[i], row_id: own[at], "score": s[i][at]}))
-            held = [pd.concat(held).sort_values([query_id, "score", row_id], ascending=[True, False, True]).groupby(query_id).head(k)]
-        if held:
-            yield held[0].astype({query_id: "int64", row_id: "int64"})
-
-    some = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v")).mapInPandas(scan, f"{query_id} long, {row_id} long, score double")
+            for r in pdf.itertuples(index=False):
+                q_ids, ids = np.asarray(r.q_ids), np.asarray(r.ids)
+                s = np.asarray(r.q_vecs, float).reshape(len(q_ids), -1) @ np.asarray(r.vecs, float).reshape(len(ids), -1).T
+                if exclude_self:
+                    s[q_ids[:, None] == ids] = -np.inf
+                out = []
+                for i, own in enumerate(s):
+                    at = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
+                    at = at[np.isfinite(own[at])]
+                    at = at[np.lexsort((ids[at], -own[at]))[:k]]
+                    out.append(pd.DataFrame({query_id: q_ids[i], row_id: ids[at], "score": own[at]}))
+                yield pd.concat(out)
+
+    asked = _blocked(queries, query_id, query_vec, QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    found = asked.crossJoin(_blocked(rows, row_id, vec, ROW_BLOCK)).mapInPandas(scan, f"{query_id} long, {row_id} long, score double")
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
-    return some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def evaluate(top: DataFrame, gold: DataFrame, query_id: str = "query_id") -> DataFrame:
@@ -81,21 +89,35 @@ def agreement(a: DataFrame, b: DataFrame, row_id: str = "vec_id", query_id: str
     return j.agg(F.count("*").alias("queries"), F.round(F.avg((F.col("ta") == F.col("tb")).cast("double")), 4).alias("same_top1"), F.round(F.avg(share), 4).alias("mean_overlap"))
 
 
-def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
+def latency_stats(df: DataFrame, by: str, value: str, accuracy: int = 10_000) -> DataFrame:
     """n, mean, p50, p95 (nearest rank, ties to even), min, max by group.
 
-    Ranks are found by a window over each group sorted by value, which spills; no group
-    is collected into one row."""
-    w = Window.partitionBy(by)
-    n = F.count("*").over(w)
-    k = F.row_number().over(w.orderBy(value))
-    at = lambda p: F.bround(F.lit(p) * (F.col("_n") - 1), 0) + 1
-    ranked = df.where(F.col(value).isNotNull()).select(by, value, n.alias("_n"), k.alias("_k"))
-    return ranked.groupBy(by).agg(
-        F.count("*").alias("n"),
-        F.round(F.avg(value), 6).alias("mean"),
-        F.max(F.when(F.col("_k") == at(0.5), F.col(value))).alias("p50"),
-        F.max(F.when(F.col("_k") == at(0.95), F.col(value))).alias("p95"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
+    No group is sorted or collected. A first pass finds, with a sketch of bounded rank error,
+    values that enclose each wanted rank; a second counts the values below, and those of the
+    enclosed ones by value, which are a few in ``accuracy``; the rank is then found exactly."""
+    margin, wanted = 4 / accuracy, {"p50": 0.5, "p95": 0.95}
+    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"))
+    ends = [min(max(p + d, 0.0), 1.0) for p in wanted.values() for d in (-margin, margin)]
+    first = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", ends, accuracy).alias("e"))
+    spans = F.array(*(F.struct(F.lit(name).alias("p"), (F.bround(F.lit(p) * (F.col("n") - 1), 0) + 1).alias("rank"), F.col("e")[2 * i].alias("low"), F.col("e")[2 * i + 1].alias("high")) for i, (name, p) in enumerate(wanted.items())))
+    asked = first.select(F.col("g").alias("ag"), F.explode(spans).alias("s")).select("ag", "s.*")
+    # a row a group and rank against rows: values at most the upper end, those below the lower as one
+    met = rows.join(asked, F.col("g").eqNullSafe(F.col("ag"))).where("v <= high").select("g", "p", "rank", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
+    counted = met.groupBy("g", "p", "rank", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("g", "p").orderBy(F.col("v").asc_nulls_first()))
+    found = counted.withColumn("upto", upto).where("upto >= rank and v is not null").groupBy("g").agg(*(F.min(F.when(F.col("p") == name, F.col("v"))).alias(name) for name in wanted))
+    j = first.join(found.withColumnRenamed("g", "fg"), F.col("g").eqNullSafe(F.col("fg")), "left")
+    return j.select(F.col("g").alias(by), "n", F.round("mean", 6).alias("mean"), *wanted, "min", "max")
+
+
+def search_docs(rows: DataFrame, query: list[float], k: int | None = 5, floor: float = 0.0, vec: str = "embedding", order: str = "vec_id") -> tuple[DataFrame, dict]:
+    """The passages at or above the floor among the k best, and the report on them: k,
+    min_score, top_score, dropped_below_floor, and a note if none is left. At most 20 rows are
+    looked at on the driver."""
+    best = search(rows, query, k, float("-inf"), vec, order).collect()
+    kept = [r for r in best if r["score"] >= floor]
+    report = {"k": clamp_k(k), "min_score": floor, "top_score": best[0]["score"] if best else None, "dropped_below_floor": len(best) - len(kept), "note": None}
+    if not kept:
+        report["note"] = f"nothing reaches the score {floor}; the nearest has {report['top_score']}. No passage answers this: say so and cite none."
+    schema = rows.select("*", F.lit(0.0).alias("score")).schema
+    return rows.sparkSession.createDataFrame([tuple(r[f.name] for f in schema) for r in kept], schema), report

@@ -36,15 +36,15 @@ SELECTORS = {
     "sel_equals": ("customer", "c_custkey", {"c_mktsegment": "BUILDING"}, "c_mktsegment = 'BUILDING'"),
     "sel_in": ("orders", "o_orderkey", {"o_orderpriority_in": ["1-URGENT", "2-HIGH"]}, "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "sel_not_in": ("orders", "o_orderkey", {"o_orderpriority_not_in": ["1-URGENT", "2-HIGH"]}, "o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"),
-    "sel_matches": ("part", "p_partkey", {"p_type_matches": "(?i)brass|steel"}, "regexp_matches(coalesce(p_type, ''), '(?i)brass|steel')"),
-    "sel_not_matches": ("part", "p_partkey", {"p_type_not_matches": "(?i)brass|steel"}, "NOT regexp_matches(coalesce(p_type, ''), '(?i)brass|steel')"),
-    "sel_matches_all": ("part", "p_partkey", {"p_name_matches_all": ["a", "[0-9]"]}, "regexp_matches(coalesce(p_name, ''), 'a') AND regexp_matches(coalesce(p_name, ''), '[0-9]')"),
+    "sel_matches": ("part", "p_partkey", {"p_type_matches": "(?i)promo|^s"}, "regexp_matches(coalesce(p_type, ''), '(?i)promo|^s')"),
+    "sel_not_matches": ("part", "p_partkey", {"p_type_not_matches": "(?i)promo|^s"}, "NOT regexp_matches(coalesce(p_type, ''), '(?i)promo|^s')"),
+    "sel_matches_all": ("part", "p_partkey", {"p_name_matches_all": ["a", "r.*e"]}, "regexp_matches(coalesce(p_name, ''), 'a') AND regexp_matches(coalesce(p_name, ''), 'r.*e')"),
     "sel_present": ("events", "event_id", {"props_present": True, "event_type": "click"}, "length(coalesce(props, '')) > 0 AND event_type = 'click'"),
-    "sel_absent": ("events", "event_id", {"value_absent": True}, "coalesce(value, 0) = 0"),
+    "sel_absent": ("lineitem", "l_orderkey", {"l_tax_absent": True}, "coalesce(l_tax, 0) = 0"),
 }
 ASSERTIONS = {
-    "assert_present": ("orders", "o_orderkey", {"field": "o_orderpriority", "op": "present"}, "length(coalesce(o_orderpriority, '')) > 0"),
-    "assert_absent": ("part", "p_partkey", {"field": "p_size", "op": "absent"}, "coalesce(p_size, 0) = 0"),
+    "assert_present": ("lineitem", "l_orderkey", {"field": "l_discount", "op": "present"}, "coalesce(l_discount, 0) <> 0"),
+    "assert_absent": ("lineitem", "l_orderkey", {"field": "l_tax", "op": "absent"}, "coalesce(l_tax, 0) = 0"),
     "assert_equals": ("orders", "o_orderkey", {"field": "o_orderstatus", "op": "equals", "value": "F"}, "o_orderstatus IS NOT DISTINCT FROM 'F'"),
     "assert_not_equals": ("orders", "o_orderkey", {"field": "o_orderstatus", "op": "not_equals", "value": "F"}, "o_orderstatus IS DISTINCT FROM 'F'"),
     "assert_in": ("customer", "c_custkey", {"field": "c_mktsegment", "op": "in", "value": ["BUILDING", "MACHINERY"]}, "coalesce(c_mktsegment IN ('BUILDING', 'MACHINERY'), false)"),
@@ -270,7 +270,18 @@ def tfidf_top_terms(spark, sf_dir):
     return knowledge.tfidf_top(t(spark, sf_dir, "documents"), "doc_id", "text", 3)
 
 
-@query("chunk_documents", None)
+_CHUNK_SQL = """
+    WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ln FROM documents),
+    p AS (SELECT doc_id, ln, unnest(regexp_extract_all(line, '[^。！？；!?;]+[。！？；!?;]?')) AS s, generate_subscripts(regexp_extract_all(line, '[^。！？；!?;]+[。！？；!?;]?'), 1) AS sn FROM l),
+    s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, sn) AS i, len(regexp_extract_all(s, '[一-鿿]')) AS c, len(regexp_extract_all(s, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS w FROM p WHERE trim(s) <> ''),
+    r AS (SELECT doc_id, i, 0 AS chunk_no, c, w, 1 AS n FROM s WHERE i = 1
+          UNION ALL
+          SELECT s.doc_id, s.i, CASE WHEN full_ THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN full_ THEN s.c ELSE r.c + s.c END, CASE WHEN full_ THEN s.w ELSE r.w + s.w END, CASE WHEN full_ THEN 1 ELSE n + 1 END
+          FROM (SELECT *, c + floor(w * 1.3::DOUBLE) + 1 >= 512 AS full_ FROM r) r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)
+    SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(max(c) + floor(max(w) * 1.3::DOUBLE) + 1 AS BIGINT) AS tokens, CAST(max(n) AS BIGINT) AS sentences FROM r GROUP BY doc_id, chunk_no"""
+
+
+@query("chunk_documents", _CHUNK_SQL)
 def chunk_documents(spark, sf_dir):
     return knowledge.chunk_sentences(t(spark, sf_dir, "documents"), "doc_id", "text", 512)
 
@@ -310,13 +321,13 @@ def _batch(spark, sf_dir, k, dim=64):
     e = t(spark, sf_dir, "embeddings")
     if dim < 64:
         e = e.withColumn("embedding", F.slice("embedding", 1, dim))
-    q = e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     return e, retrieval.search_batch(e, q, k)
 
 
 def _batch_sql(k, dim=64):
     return f"""(SELECT query_id, vec_id, label, s, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM (
-        SELECT q.vec_id AS query_id, c.vec_id, c.label, list_dot_product(q.v[1:{dim}], c.v[1:{dim}]) AS s FROM e q JOIN e c ON q.vec_id < 50 AND q.vec_id <> c.vec_id) QUALIFY rank <= {k})"""
+        SELECT q.vec_id AS query_id, c.vec_id, c.label, list_dot_product(q.v[1:{dim}], c.v[1:{dim}]) AS s FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) QUALIFY rank <= {k})"""
 
 
 @query("vector_topk_batch", f"{_V} SELECT query_id, rank, vec_id, round(s, 4) AS score FROM {_batch_sql(5)}")
@@ -327,7 +338,7 @@ def vector_topk_batch(spark, sf_dir):
 def _evaluated(spark, sf_dir, k, dim=64):
     e, top = _batch(spark, sf_dir, k, dim)
     names = e.select("vec_id", F.col("label").cast("string").alias("source"))
-    gold = names.where("vec_id < 50").withColumnRenamed("vec_id", "query_id")
+    gold = names.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     return retrieval.evaluate(top.join(names, "vec_id"), gold)
 
 
@@ -354,8 +365,8 @@ def tune_grid(spark, sf_dir):
     for d in (16, 32, 64):
         e, top = _batch(spark, sf_dir, 10, d)
         names = e.select("vec_id", F.col("label").cast("string").alias("source"))
-        gold = names.where("vec_id < 50").withColumnRenamed("vec_id", "query_id")
-        found = top.join(names, "vec_id").persist()
+        gold = names.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+        found = top.join(names, "vec_id")
         rows += [retrieval.evaluate(found.where(F.col("rank") <= k), gold).select(F.lit(k).alias("k"), F.lit(d).alias("dim"), "hit_rate", "mrr") for k in (3, 5, 10)]
     return reduce(DataFrame.unionByName, rows)
 
@@ -484,6 +495,10 @@ STATEMENTS = [
     ("WITH x AS (UPDATE shop.orders SET amount = 0 RETURNING id) SELECT * FROM x", False, "L3"), ("SELECT * FROM shop.orders INTO archived_orders", False, "L3"), ("SELECT 1 /* TRUNCATE TABLE shop.orders */", True, None), ("SELECT 'DELETE FROM shop.orders' AS example", True, None),
     ("SELECT pg_sleep(10)", False, "L4"), ("SELECT nextval('shop.orders_id_seq')", False, "L4"), ("SELECT current_setting('search_path')", False, "L4"), ("SELECT pg_size_pretty(1024)", True, None),
     ("SELECT * FROM shop.users", False, "L5"), ("SELECT o.id FROM shop.orders o JOIN shop.users u ON u.id = o.customer_id", False, "L5"), ("SELECT * FROM shop.orders o, shop.users u", False, "L5"), ('SELECT * FROM "shop"."users"', False, "L5"), ("SELECT extract(year FROM created_at) FROM shop.orders", True, None),
+    ("SELECT * FROM (shop.users CROSS JOIN shop.orders)", False, "L5"), ("SELECT * FROM (shop.users)", False, "L5"), ("SELECT * FROM ((shop.orders o), shop.users u)", False, "L5"), ("WITH users AS (SELECT * FROM users) SELECT * FROM users", False, "L5"),
+    ("WITH a AS (SELECT * FROM shop.orders), b(x) AS (SELECT id FROM a) SELECT * FROM b, (a)", True, None), ("WITH RECURSIVE n AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM n WHERE x < 5) SELECT * FROM n", True, None), ("SELECT * FROM (WITH users AS (SELECT 1 AS x) SELECT * FROM users) q JOIN users ON true", False, "L5"),
+    ("SELECT * FROM shop.orders WHERE id IN (SELECT user_id FROM shop.users)", False, "L5"), ("SELECT * FROM shop.orders UNION ALL TABLE shop.users", False, "L5"), ("SELECT * FROM generate_series(1, 5) g, shop.orders", True, None), ("SELECT trim(BOTH ' ' FROM note) FROM shop.orders", True, None), ("(SELECT * FROM shop.orders) UNION (SELECT * FROM shop.users)", False, "L5"),
+    ("GRANT SELECT ON shop.orders TO public", False, "L2"), ("COPY shop.orders TO '/tmp/x'", False, "L2"), ("SELECT lo_import('/etc/passwd')", False, "L4"), ("SELECT $$DROP TABLE x$$ AS t", True, None), ("EXPLAIN DELETE FROM shop.orders", False, "L3"), ("SELECT * FROM dblink('x', 'y') AS t(a int)", False, "L4"),
 ]
 
 
@@ -495,7 +510,7 @@ def guard_verdicts(spark, sf_dir):
     return s.select("n", guard_column(F.col("sql"), allowed=["shop.orders"]).alias("v")).select("n", "v.ok", "v.layer")
 
 
-LIMITS = [("SELECT * FROM shop.orders", "SELECT * FROM shop.orders\nLIMIT 100", True), ("SELECT * FROM shop.orders LIMIT 5", "SELECT * FROM shop.orders LIMIT 5", False), ("SELECT 'limit 3' AS marker FROM shop.orders", "SELECT 'limit 3' AS marker FROM shop.orders\nLIMIT 100", True), ("select * from shop.orders limit 7;", "select * from shop.orders limit 7", False), ("SELECT * FROM shop.orders LIMIT 5000", "SELECT * FROM shop.orders LIMIT 100", True), ("SELECT * FROM shop.orders LIMIT ALL", "SELECT * FROM shop.orders LIMIT 100", True), ("SELECT * FROM (SELECT 1 LIMIT 3) x", "SELECT * FROM (SELECT 1 LIMIT 3) x\nLIMIT 100", True), ("SELECT * FROM shop.orders FETCH FIRST 9 ROWS ONLY", "SELECT * FROM shop.orders FETCH FIRST 9 ROWS ONLY", False)]
+LIMITS = [("SELECT * FROM shop.orders", "SELECT * FROM shop.orders\nLIMIT 100", True), ("SELECT * FROM shop.orders LIMIT 5", "SELECT * FROM shop.orders LIMIT 5", False), ("SELECT 'limit 3' AS marker FROM shop.orders", "SELECT 'limit 3' AS marker FROM shop.orders\nLIMIT 100", True), ("select * from shop.orders limit 7;", "select * from shop.orders limit 7", False), ("SELECT * FROM shop.orders LIMIT 5000", "SELECT * FROM shop.orders LIMIT 100", True), ("SELECT * FROM shop.orders LIMIT ALL", "SELECT * FROM shop.orders LIMIT 100", True), ("SELECT * FROM (SELECT 1 LIMIT 3) x", "SELECT * FROM (SELECT 1 LIMIT 3) x\nLIMIT 100", True), ("SELECT * FROM shop.orders FETCH FIRST 9 ROWS ONLY", "SELECT * FROM shop.orders FETCH FIRST 9 ROWS ONLY", False), ("SELECT * FROM shop.orders LIMIT 1+100000", "SELECT * FROM shop.orders LIMIT 100", True), ("SELECT * FROM shop.orders LIMIT (SELECT 7) OFFSET 3", "SELECT * FROM shop.orders LIMIT 100 OFFSET 3", True), ("SELECT * FROM shop.orders LIMIT 1e9", "SELECT * FROM shop.orders LIMIT 100", True), ("SELECT * FROM shop.orders FETCH FIRST ROW ONLY", "SELECT * FROM shop.orders FETCH FIRST ROW ONLY", False), ("SELECT * FROM shop.orders FETCH NEXT 900 ROWS ONLY", "SELECT * FROM shop.orders FETCH NEXT 100 ROWS ONLY", True)]
 
 
 @query("guard_limit_rewrite", _values([(i, b, r) for i, (_, b, r) in enumerate(LIMITS)], ["n", "sql", "rewritten"]))
@@ -539,7 +554,7 @@ def statement_findings(spark, sf_dir):
     return s.select("n", codes("sql").alias("code"))
 
 
-QUESTIONS = [("Delete all old orders", "refuse"), ("How do I delete duplicate rows?", "docs"), ("How many orders were paid yesterday?", "query"), ("Which tables have the most dead tuples?", "stats"), ("Explain this slow query", "plan"), ("What causes replication lag?", "docs"), ("help", "clarify"), ("", "clarify"), ("please drop table users", "refuse"), ("show the total order amount", "query")]
+QUESTIONS = [("Delete all old orders", "refuse"), ("How do I delete duplicate rows?", "docs"), ("How many orders were paid yesterday?", "query"), ("Which tables have the most dead tuples?", "stats"), ("Explain this slow query", "plan"), ("What causes replication lag?", "docs"), ("help", "clarify"), ("", "clarify"), ("please drop table users", "refuse"), ("show the total order amount", "query"), ("帮我删掉 orders 表 2024 年之前的数据", "refuse"), ("帮我删掉 orders 表的数据，可以吗？", "refuse"), ("drop table orders", "refuse"), ("清空 t 表", "refuse"), ("delete from shop.orders where id = 1", "refuse"), ("把参数从配置文件里删掉和设成 0，效果一样吗？", "docs"), ("怎么安全地删除大表的历史分区？", "docs"), ("truncate 大表会锁多久？", "docs"), ("授权给只读账号要注意什么？", "docs"), ("怎么建表更合理？", "docs"), ("orders 表膨胀了", "stats"), ("这条语句很慢", "plan"), ("列出昨天的订单", "query"), ("随便", "clarify")]
 
 
 @query("route_decisions", _values([(i, r) for i, (_, r) in enumerate(QUESTIONS)], ["n", "tool"]))
@@ -583,3 +598,28 @@ def pack_examples(spark, sf_dir):
     from .packs import PACKS
 
     return spark.createDataFrame([(n, len(verify_pack(spark, p))) for n, p in PACKS.items()], "pack string, wrong long")
+
+
+@query("search_docs_report", f"{_V}, r AS (SELECT round(list_dot_product(v, (SELECT v FROM e ORDER BY vec_id LIMIT 1)), 4) AS s FROM e ORDER BY list_dot_product(v, (SELECT v FROM e ORDER BY vec_id LIMIT 1)) DESC, vec_id LIMIT 20) SELECT f AS floor, CAST(count(*) FILTER (s >= f) AS BIGINT) AS hits, CAST(count(*) FILTER (s < f) AS BIGINT) AS dropped, max(s) AS top_score, count(*) FILTER (s >= f) = 0 AS noted FROM r, (VALUES (0.3::DOUBLE), (0.9::DOUBLE), (2.0::DOUBLE)) AS v(f) GROUP BY f")
+def search_docs_report(spark, sf_dir):
+    e, q = _first_vector(spark, sf_dir)
+    rows = []
+    for floor in (0.3, 0.9, 2.0):
+        hits, report = retrieval.search_docs(e, q, 99, floor)
+        rows.append((floor, hits.count(), report["dropped_below_floor"], report["top_score"], report["note"] is not None))
+    return spark.createDataFrame(rows, "floor double, hits long, dropped long, top_score double, noted boolean")
+
+
+CALLS = [("run_sql", {"sql": "SELECT n_name FROM reviewed_nation ORDER BY n_name"}, "ok", "none"), ("run_sql", {"sql": "DROP TABLE reviewed_nation"}, "blocked", "L2"), ("run_sql", {"sql": "SELECT * FROM other_nation"}, "blocked", "L5"), ("explain_sql", {"sql": "SELECT * FROM reviewed_nation"}, "ok", "none"), ("explain_sql", {"sql": "DELETE FROM reviewed_nation"}, "blocked", "L3"), ("run_sql", {"sql": "SELECT no_such_column FROM reviewed_nation"}, "tool-error", "none"), ("run_sql", {}, "bad-arguments", "none"), ("drop_all", {}, "unknown-tool", "none"), ("get_table_stats", {}, "ok", "none"), ("search_docs", {"query": "x"}, "ok", "none")]
+
+
+@query("toolbox_decisions", _values([(i, tool, d, layer) for i, (tool, _, d, layer) in enumerate(CALLS)], ["n", "tool", "decision", "layer"]))
+def toolbox_decisions(spark, sf_dir):
+    from .operators.toolbox import Toolbox
+
+    nation = t(spark, sf_dir, "nation")
+    nation.createOrReplaceTempView("reviewed_nation")
+    box = Toolbox(spark, tables={"nation": nation}, allowed=["reviewed_nation"], max_rows=5)
+    for tool, args, _, _ in CALLS:
+        box.call(tool, args)
+    return spark.createDataFrame([(i, e["tool"], e["decision"], e["layer"]) for i, e in enumerate(box.entries)], "n int, tool string, decision string, layer string")

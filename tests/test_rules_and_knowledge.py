@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.functions import predicates
-from lakewarden.operators import knowledge, retrieval, rules, schema_checks
+from lakewarden.operators import knowledge, retrieval, rules, schema_checks, toolbox
 from lakewarden.streaming import audit
 
 
@@ -67,16 +67,63 @@ def test_near_names_equal_brute_force(spark, distance):
 
 def test_chunker():
     out = knowledge.chunk_text("lost\n# A\none two three. four;\n## B\n" + "five six seven eight nine ten;" * 80 + "\n# C\nend", 128, 20)
-    assert out[0][0] == "A" and out[0][1].startswith("A。one two three. four;")
+    assert out[0][0] == "A" and out[0][1].startswith("A。 one two three. four;")
     assert all(n == knowledge.estimate_tokens(c) for _, c, n in out) and "lost" not in "".join(c for _, c, _ in out)
     assert knowledge.chunk_text("", 128, 0) == [] and knowledge.chunk_text("no heading", 128, 0)[0][0] == "(untitled)"
 
 
+GOLDEN = [
+    # text, target, overlap, (section, content)
+    ("# A\none; two\n## B\nthree", 512, 0, [("A", "A。 one; two B。 three")]),
+    ("preface; words\n# A\nbody", 512, 64, [("A", "A。 body")]),
+    (" ".join(["lead"] * 70) + "\n# A\nx", 90, 0, [("(untitled)", " ".join(["lead"] * 70)), ("A", "A。 x")]),
+    ("# A\n" + "alpha beta gamma. " * 40 + "\n# C #\ntail", 120, 0, [("A", "A。 " + ("alpha beta gamma. " * 40).strip()), ("C", "C。 tail")]),
+    ("# A\na b c; d e f; g h i;", 8, 6, [("A", "A。 a b c; d e f;"), ("A", "A。 a b c; g h i;"), ("A", "A。 a b c;")]),
+    ("# 表\n甲乙丙。丁戊己！", 512, 0, [("表", "表。 甲乙丙。 丁戊己！")]),
+]
+
+
+@pytest.mark.parametrize("text,target,overlap,want", GOLDEN)
+def test_chunker_golden(text, target, overlap, want):
+    assert [(s, c) for s, c, _ in knowledge.chunk_text(text, target, overlap)][: len(want)] == want
+
+
+def test_latency_ranks_equal_sorting(spark):
+    r = random.Random(3)
+    rows = [("a", r.random()) for _ in range(3000)] + [("b", 5.0)] * 2000 + [("b", 1.0)] * 1999 + [("c", 2.5), (None, 1.5), (None, 3.5), ("a", None)]
+    got = {x.g: x for x in retrieval.latency_stats(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    for g in ("a", "b", "c", None):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert (got[g].n, got[g].min, got[g].max) == (len(v), v[0], v[-1])
+        assert (got[g].p50, got[g].p95) == (v[round(0.5 * (len(v) - 1))], v[round(0.95 * (len(v) - 1))])
+
+
+def test_ingest_and_toolbox(spark, tmp_path):
+    notes = [("bloat", "# Bloat\ndead tuples make a table large; vacuum frees them"), ("locks", "# Locks\na long transaction holds row locks"), ("none", None)]
+    docs = spark.createDataFrame(notes, "source string, text string")
+    store, embedder = knowledge.ChunkStore(spark, str(tmp_path)), knowledge.Embedder(64)
+    chunks = knowledge.ingest(docs, store, "v1", embedder)
+    assert sorted(r.source for r in chunks.collect()) == ["bloat", "locks"] and "corpus idf" in embedder.label
+    box = toolbox.Toolbox(spark, chunks, embedder)
+    hits = box.call("search_docs", {"query": "vacuum dead tuples", "k": 0})
+    assert hits.ok and [h["source"] for h in hits.data["hits"]] == ["bloat"] and hits.brief() == "1 passages"
+    box.floor = 2.0
+    assert box.call("search_docs", {"query": "vacuum"}).data["note"] and box.answer("drop table x")["refused"]
+    assert box.answer("How are locks held?")["steps"][0].tool == "search_docs"
+    with pytest.raises(ValueError, match="64 numbers"):
+        toolbox.Toolbox(spark, chunks, knowledge.Embedder(32))
+    box.register("twice", lambda n: {"rows": [n, n]})
+    assert box.call("twice", {"n": 1}).brief() == "2 rows" and box.audit_rows().count() == len(box.entries)
+    assert box.call("run_sql", {"sql": "SELECT repeat('x', 900) AS x"}).data["rows"][0][0].endswith("…")
+    assert [toolbox.human_bytes(x) for x in (5, 2048, 3 << 40)] == ["5 B", "2.0 KB", "3.0 TB"]
+
+
 def test_columns_equal_plain_chunker(spark):
     text = "alpha beta; gamma? delta!\n\nepsilon " * 30
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     got = [(r.tokens, r.sentences) for r in knowledge.chunk_sentences(df, "doc_id", "text", 40).orderBy("chunk_no").collect()]
-    assert sum(n for _, n in got) == 91 and all(t >= 40 for t, _ in got[:-1])
+    plain = [(n, c) for _, c, n in knowledge.chunk_text(text, 40, 0)]
+    assert [t for t, _ in got] == [n for n, _ in plain] and sum(n for _, n in got) == 91
 
 
 def test_embedding_equals_hashlib(spark):
