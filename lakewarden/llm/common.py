@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -59,6 +60,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return freed memory of a worker to the machine: workers outlive their tasks, and what
+    one task no longer needs must not stand in the way of the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def mapped(docs: DataFrame, keep: list[str], inputs: list[Column], fn: Callable[[list[pa.Array]], list[pa.Array]], out: str) -> DataFrame:
     """The columns ``keep``, untouched, beside what ``fn`` makes of ``inputs`` in slices of at
     most 1000 rows; ``out`` is the schema of that. Values stay in Arrow, so that ids keep all
@@ -74,5 +84,6 @@ def mapped(docs: DataFrame, keep: list[str], inputs: list[Column], fn: Callable[
             for a in range(0, batch.num_rows, 1000):
                 some = batch.slice(a, 1000)
                 yield pa.RecordBatch.from_arrays([*some.columns[:n], *fn(some.columns[n:])], [f"k{i}" for i in range(n)] + names)
+        give_back()
 
     return rows.mapInArrow(run, kinds).toDF(*keep, *names)

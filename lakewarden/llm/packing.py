@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import give_back, materialise
 from .token_codec import codec, slices
 
 #: Pieces that a group holds on average.
@@ -50,6 +50,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
                 crcs = [zlib.crc32(ids[x:y]) for x, y in zip((bounds[owner] + start).tolist(), (bounds[owner] + start + length).tolist(), strict=True)]
                 columns = [batch.column(0).slice(a, n).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInArrow(cut, PIECES)

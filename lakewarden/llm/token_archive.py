@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import give_back, parts
 from .elias_fano import EliasFano
 from .token_codec import codec, slices
 
 MAGIC = b"LWTOK2"
 HEAD = "<6sBBqqqqqqq"
-#: A segment is closed when its ids take this many bytes; it may exceed them by a half, or by
-#: one document.
+#: A segment is closed when its ids take this many bytes; it may exceed them by a slice
+#: of texts, or by one document.
 SEGMENT_BYTES = 8 << 20
 
 
@@ -97,7 +97,7 @@ def write_token_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int,
             return pa.RecordBatch.from_pydict({"segment": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for a, n in slices(batch.column(1), SEGMENT_BYTES // 2):
+            for a, n in slices(batch.column(1)):
                 ids, bounds = words.encode(batch.column(1).slice(a, n), end_id)
                 keys += batch.column(0).slice(a, n).to_pylist()
                 held.append(ids)
@@ -109,6 +109,7 @@ def write_token_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                     keys, held, sizes, size = [], [], [], 0
         if keys:
             yield close()
+        give_back()
 
     # a binary cast to string keeps its bytes, and the text sink writes them as they are
     made = ordered.mapInArrow(encode, "segment binary").select(F.col("segment").cast("string").alias("value"))

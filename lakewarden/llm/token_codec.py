@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words that a worker remembers; then it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Put before a word that a newline precedes, before the first word of a text, and before
 #: signs that close a word (they are pre-tokens of their own after a letter that no file
 #: turns into something else than letters).
@@ -160,7 +160,7 @@ class WordCodec:
         return ids, bounds
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 2 << 20) -> list[tuple[int, int]]:
     """(offset, length) of runs of texts of about ``most`` bytes; a longer text is alone."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     out, a, before = [], 0, 0
