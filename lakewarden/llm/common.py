@@ -8,6 +8,8 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +41,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes the shuffle files of an execution at its end, not when the driver's
+#: garbage collector comes by.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read again: cuts the lineage."""
+    """Write to the shared folder as Parquet and read again: cuts the lineage. What was shuffled
+    for it is deleted, since nothing reads it again."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)
     written._scratch = path
     return written
@@ -57,6 +70,35 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def picked(df: DataFrame, rows: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of df whose ``row`` (a number of monotonically_increasing_id) is among those of
+    ``rows``, or is not. A bit a row goes to all tasks, so df itself is not shuffled."""
+
+    def pack(found: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[found["bit"].to_numpy()] = 1
+        data = np.packbits(bits).tobytes().rstrip(b"\0")
+        return pa.table({"block": found["block"].slice(0, 1).cast(pa.int64()), "bits": pa.array([data], pa.binary())})
+
+    placed = rows.select(F.shiftright("row", 16).alias("block"), F.col("row").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("bit"))
+    blocks = {r["block"]: bytes(r["bits"]) for r in placed.groupBy("block").applyInArrow(pack, "block long, bits binary").collect()}
+    held = df.sparkSession.sparkContext.broadcast(blocks)
+
+    def among(row: pd.Series) -> pd.Series:
+        x = row.to_numpy()
+        out = np.zeros(len(x), bool)
+        block, bit = x >> 16, x & 0xFFFF
+        for k in np.unique(block):
+            at = np.flatnonzero(block == k)
+            data = np.frombuffer(held.value.get(int(k), b""), np.uint8)
+            own = at[bit[at] < 8 * len(data)]
+            out[own] = np.unpackbits(data)[bit[own]]
+        return pd.Series(out)
+
+    inside = F.pandas_udf(among, "boolean")("row")
+    return df.where(inside if keep else ~inside)
+
+
 def crc_mod(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k

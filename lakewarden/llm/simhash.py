@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import give_back, materialise
 from .components import components
 
 SEED = 42
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
         for batch in batches:
             fps = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())})
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(hashed, "doc_id long, fp long")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from lakewarden.llm import simhash
+from lakewarden.llm import shingle_pairs, simhash
 
 from test_pairs import classes_brute, fp_brute, grams
 
@@ -111,3 +111,43 @@ def test_stages_on_odd_tables(spark, tmp_path):
             else:
                 # the empty texts are copies: 2 stays, 2**60 + 1 goes, and the row without an id stays
                 assert ids == (["1", "2", "3", "None"] if name == "near-dedup" else ["1", str(2**60 + 1), "2", "3", "None"]), name
+
+
+def test_near_copies_below_the_threshold_are_not_all_verified(spark, monkeypatch):
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for k in r.sample(range(150), r.randrange(1, 9)):
+            copy[k] = f"e{r.randrange(10**6)}"
+        texts.append(copy)
+    sets = [{tuple(w[i : i + 5]) for i in range(146)} for w in texts]
+    reach = [(i, j) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])]
+    assert 0 < len(reach) < 1000
+    seen = []
+    verified = shingle_pairs._verified
+    monkeypatch.setattr(shingle_pairs, "_verified", lambda docs, pairs, *rest: seen.append(pairs.count()) or verified(docs, pairs, *rest))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "row long, text string")
+    found = [(r.a, r.b) for r in shingle_pairs.similar(docs, 5, 0.8).collect()]
+    join = lambda pairs: {i: min(c) for c in _classes(pairs, len(texts)) for i in c}
+    assert join(found) == join(reach)
+    assert sum(seen) < 700
+
+
+def _classes(pairs, n):
+    of = {i: {i} for i in range(n)}
+    for a, b in pairs:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for i in of[b]:
+                of[i] = of[a]
+    return list({id(c): c for c in of.values()}.values())
+
+
+def test_stages_do_not_shuffle_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 7}") for i in range(50)], "doc_id long, text string")
+    for stage in (corpus_pipeline.near_dedup_stage, corpus_pipeline.decontamination_stage):
+        plan = stage(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan, stage.__name__
