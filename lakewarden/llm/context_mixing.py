@@ -4,15 +4,13 @@ A text is its words (runs of bytes other than blank and \\x09-\\x0D, A-Z lower-c
 an end sign. A word is coded in bits: the ``HOT_WORDS`` commonest words of the training
 documents by the path of a Huffman tree over their counts, all others by the path of an
 escape leaf and then a tail. Every bit is predicted from several contexts, which cross
-blanks: the node alone, with the last common word (of ``COMMON``), and, for the first
-``HEAD`` bits of a word, hashed with the word before. Each has counts of zeros and ones
-over all training documents. The logits of those first bits are combined with weights that
-a gate chooses by how often the contexts were seen; an adaptive map over the mixed logit
-refines the result. Weights and map start each text from the same state and are learned
-online while it goes on, after blocks of 16, 16, 32, 64 ... words. The later bits keep
-fixed weights, so that their sum is known for each pair of common word and word. The model
-is fixed by the training documents and a text is scored in one pass, so a score depends
-neither on partitions nor on tasks that are run again.
+blanks: the node alone, with the last common word (of ``COMMON``), and hashed with the
+word before. Each has counts of zeros and ones over all training documents. The logits are
+combined with weights that a gate chooses by how often the contexts were seen; an adaptive
+map over the mixed logit refines the result. Weights and map start each text from the same
+state and are learned online while it goes on, after blocks of 16, 16, 32, 64 ... words.
+The model is fixed by the training documents and a text is scored in one pass, so a score
+depends neither on partitions nor on tasks that are run again.
 
 The tail of a word that training holds is its share of the rare words' counts. The tail
 of a new word is spelled: byte by byte, each bit mixed from contexts of the last one to
@@ -42,8 +40,8 @@ from .common import give_back, materialise
 from .token_codec import slices
 
 HOT_WORDS, COMMON = 100_000, 64
-#: First bits of a word, which are mixed from all contexts.
-HEAD = 8
+#: Bits of a word that are mixed from all contexts: all, since no path is as long.
+HEAD = 128
 #: log2 of the most slots of the table of the word before.
 TABLE_BITS = 22
 END = b"\n"
@@ -52,8 +50,8 @@ FLUSH = 200_000
 CELLS = 1 << 17  # counts in a chunk of a table
 LEVELS = 5  # of how often a context was seen
 BLOCK, RATE, BUCKETS, MAP_RATE = 16, 0.2, 33, 0.05
-#: Bytes of text that are scored together.
-SLICE = 1 << 19
+#: Bytes of text that are scored together, and tokens of theirs that are mixed at a time.
+SLICE, PART = 1 << 19, 1 << 14
 
 _U32 = np.uint32
 
@@ -176,34 +174,19 @@ class Code:
         self.logit = np.zeros(0, np.float32)
         zeros, ones = self.split(total[: n + 1])
         self.logit = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
-        # first bits by leaf: their nodes, numbered anew, the nodes' hashes, the bits, and whether there is such a bit
-        self.there = np.arange(HEAD) < self.sizes[:, None]
-        at = np.where(self.there, self.starts[:-1, None] + np.arange(HEAD), 0)
-        node = self.nodes[at] if n else at
-        self.first, number = np.unique(node[self.there], return_inverse=True)
-        self.head = np.full(node.shape, len(self.first), np.uint16)
-        self.head[self.there] = number
-        self.head_hash = np.where(self.there, _hash(node.astype(_U32), 1), _U32(0))
-        self.head_bit = np.where(self.there, self.bits[at] if n else 0, 0).astype(np.uint8)
-        self.head_logit = np.append(self.logit[self.first], 0).astype(np.float32)
+        assert self.sizes.max() <= HEAD
+        self.hashes = _hash(self.nodes.astype(_U32), 1)
 
     def split(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Zeros and ones of each inner node, from counts of the leaves."""
         sums = np.concatenate([[0], np.cumsum(counts[self.order])])
         return sums[self.mid] - sums[self.low], sums[self.high] - sums[self.mid]
 
-    def later(self, values: np.ndarray) -> np.ndarray:
-        """Sum over each leaf's later bits of the logarithm of their probability, the nodes having
-        ``values`` (see ``_logits``) in a context."""
-        sizes = np.maximum(self.sizes - HEAD, 0)
-        if not sizes.any():
-            return np.zeros(len(sizes), np.float32)
-        at = np.arange(int(sizes.sum())) + np.repeat(self.starts[:-1] + HEAD - (np.cumsum(sizes) - sizes), sizes)
-        node = self.nodes[at]
-        level = values[node] >> np.uint16(8)
-        z = LATER[0].take(level) * self.logit[node] + LATER[1].take(level) * VALUE.take(values[node])
-        z *= 1 - 2 * self.bits[at].astype(np.float32)
-        return -np.bincount(np.repeat(np.arange(len(sizes)), sizes), np.log1p(np.exp(z)), len(sizes)).astype(np.float32)
+    def steps(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all bits of the leaves: the place of its leaf, and its own in ``nodes``, ``bits`` and ``hashes``."""
+        sizes = self.sizes.take(leaf)
+        at = np.arange(int(sizes.sum())) + np.repeat(self.starts.take(leaf) - (np.cumsum(sizes) - sizes), sizes)
+        return np.repeat(np.arange(len(leaf)), sizes), at
 
     def leaves(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Leaf of each distinct word, and of the end last, and their hashes."""
@@ -228,7 +211,11 @@ def contexts(code: Code, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     """Of contexts (a column) and their nodes (rows)."""
-    return (((context[:, None] ^ node) * _U32(0x9E3779B1)) >> _U32(32 - bits)).astype(np.intp)
+    return _slot(context[:, None], node, bits)
+
+
+def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    return (((context ^ node) * _U32(0x9E3779B1)) >> _U32(32 - bits)).astype(np.intp)
 
 
 # counts of a table: zeros and ones of each slot side by side --------------------------------
@@ -304,14 +291,11 @@ VALUE = ((np.arange(LEVELS * 256) % 256 - 128) / 16).astype(np.float32)
 
 
 class Tables:
-    """Of the word before: a hashed table. Of the last common word: its values at the nodes of
-    the first bits, and what the later bits of each leaf come to."""
+    """Of the word before: a hashed table. Of the last common word: its values at all nodes."""
 
     def __init__(self, code: Code, bits: int) -> None:
         self.before, self.bits = np.full(1 << bits, EMPTY, np.uint16), bits
-        width = len(code.first) + 1
-        self.common = np.full((code.common + 1, width), EMPTY, np.uint16)
-        self.later = np.tile(code.later(np.full(code.escape, EMPTY, np.uint16)), (code.common + 1, 1))
+        self.common = np.full((code.common + 1, code.escape), EMPTY, np.uint16)
 
 
 def _context_tables(docs: DataFrame, code, bits: int) -> Tables:
@@ -329,12 +313,13 @@ def _context_tables(docs: DataFrame, code, bits: int) -> Tables:
                 w = Words(train.slice(a, n))
                 leaf, hashed, common = contexts(c, w)
                 np.add.at(pairs, common * leaves + leaf, _U32(1))
-                at = _slots(hashed, c.head_hash[leaf], bits)
+                token, step = c.steps(leaf)
+                at = _slot(hashed.take(token), c.hashes.take(step), bits)
                 at += at
-                at += c.head_bit[leaf]
-                at *= c.there[leaf]
-                np.add.at(before, at.ravel(), _U32(1))
-        before[:2] = 0  # what is no bit went to the first slot, so it stays empty
+                at += c.bits.take(step)
+                np.add.at(before, at, _U32(1))
+                del token, step, at
+        before[:2] = 0  # the first slot stays empty
         yield from _chunks([before, pairs], [CELLS, leaves], TaskContext.get().partitionId())
         del before, pairs
         give_back()
@@ -342,19 +327,15 @@ def _context_tables(docs: DataFrame, code, bits: int) -> Tables:
     def finish(k: int, a: int, x: np.ndarray) -> bytes:
         if k == 0:
             return _logits(x[0::2], x[1::2]).tobytes()
-        c: Code = code.value
-        values = _logits(*c.split(x))
-        return values[c.first].tobytes() + c.later(values).tobytes()
+        return _logits(*code.value.split(x)).tobytes()
 
     out = Tables(code.value, bits)
-    width = out.common.shape[1] - 1
     for k, a, data in _collected(docs.mapInArrow(count, CHUNK), finish):
+        part = np.frombuffer(data, np.uint16)
         if k == 0:
-            part = np.frombuffer(data, np.uint16)
             out.before[a * CELLS // 2 : a * CELLS // 2 + len(part)] = part
         else:
-            out.common[a, :width] = np.frombuffer(data, np.uint16, width)
-            out.later[a] = np.frombuffer(data, np.float32, leaves, 2 * width)
+            out.common[a] = part
     return out
 
 
@@ -368,52 +349,63 @@ def first_weights() -> np.ndarray:
     return w.reshape(-1, 3)
 
 
-#: Weights of the later bits, by the level of the last common word: the node alone, and with it.
-LATER = np.array([[1.0, 0.7, 0.45, 0.3, 0.2], [0.0, 0.45, 0.7, 0.9, 1.0]], np.float32)
-
-
 def mix(code: Code, tables: Tables, w: Words) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of the coded bits of each text, and the leaf of each token."""
     texts = len(w.first) - 1
     leaf, hashed, common = contexts(code, w)
     sizes, owner = np.diff(w.first), w.owner()
-    total = np.bincount(owner, tables.later[common, leaf], texts)
-    row, flat = common * tables.common.shape[1], tables.common.ravel()
+    total = np.zeros(texts)
+    row, flat = common.astype(np.int64) * tables.common.shape[1], tables.common.ravel()
     gates = LEVELS * LEVELS
     weights = [np.tile(x, texts) for x in first_weights().T]
     squares = [np.full(texts * gates, 0.1) for _ in weights]
     refined = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))).astype(np.float32), texts)
-    a, b = 0, BLOCK
-    live = np.arange(texts)
-    while len(live := live[sizes[live] > a]):
-        n = np.minimum(sizes[live], b) - a
-        at = np.arange(int(n.sum())) + np.repeat(w.first[live] + a - (np.cumsum(n) - n), n)
-        own = leaf.take(at)
-        node, real = code.head[own].astype(np.intp), code.there[own].astype(np.float32)
-        ones = code.head_bit[own].astype(np.float32)
-        before = tables.before.take(_slots(hashed.take(at), code.head_hash[own], tables.bits))
-        last = flat.take(row.take(at)[:, None] + node)
-        x = [code.head_logit.take(node), VALUE.take(before), VALUE.take(last)]
-        text = owner.take(at)[:, None]
-        gate = text * gates + ((before >> np.uint16(8)) * np.uint16(LEVELS) + (last >> np.uint16(8)))
+
+    def block(some: np.ndarray, a: int, b: int) -> None:
+        n = np.minimum(sizes[some], b) - a
+        at = np.arange(int(n.sum())) + np.repeat(w.first[some] + a - (np.cumsum(n) - n), n)
+        token, step = code.steps(leaf.take(at))
+        if not len(token):
+            return
+        at, node = at.take(token), code.nodes.take(step)
+        before = tables.before.take(_slot(hashed.take(at), code.hashes.take(step), tables.bits))
+        last = flat.take(row.take(at) + node)
+        x = [code.logit.take(node), VALUE.take(before), VALUE.take(last)]
+        text, ones = owner.take(at), code.bits.take(step).astype(np.float32)
+        gate = text * gates
+        gate += (before >> np.uint16(8)) * np.uint16(LEVELS) + (last >> np.uint16(8))
+        del token, step, node, at, before, last
         z = weights[0].take(gate) * x[0]
         for v, y in zip(weights[1:], x[1:], strict=True):
             z += v.take(gate) * y
         np.clip(z, -8, 8, out=z)
         p = 1 / (1 + np.exp(-z))
-        cell = text * BUCKETS + np.rint((z + 8) * np.float32((BUCKETS - 1) / 16)).astype(np.intp)
+        cell = text * BUCKETS
+        cell += np.rint((z + 8) * np.float32((BUCKETS - 1) / 16)).astype(np.intp)
         right = 1 - np.abs(ones - (p + refined.take(cell)) * np.float32(0.5))
-        total += np.bincount(text[:, 0], (np.log(right) * real).sum(axis=1), texts)
-        err = (ones - p) * real
-        gate, cell, real = gate.ravel(), cell.ravel(), real.ravel()
+        total[:] += np.bincount(text, np.log(right), texts)
+        # only texts that go on have something to learn for
+        more = np.flatnonzero((sizes > b).take(text))
+        gate, cell, ones = gate.take(more), cell.take(more), ones.take(more)
+        err = ones - p.take(more)
         for v, y, q in zip(weights, x, squares, strict=True):
-            g = np.bincount(gate, (err * y).ravel(), len(v))
+            g = np.bincount(gate, err * y.take(more), len(v))
             q += g * g
             v += (RATE * g / np.sqrt(q)).astype(np.float32)
-        hits = np.bincount(cell, real, len(refined))
-        mean = np.bincount(cell, ones.ravel(), len(refined)) / np.maximum(hits, 1)
-        refined += np.where(hits > 0, (mean - refined) * (1 - np.exp(-MAP_RATE * hits)), 0).astype(np.float32)
+        hits = np.bincount(cell, minlength=len(refined))
+        mean = np.bincount(cell, ones, len(refined)) / np.maximum(hits, 1)
+        refined[:] += np.where(hits > 0, (mean - refined) * (1 - np.exp(-MAP_RATE * hits)), 0).astype(np.float32)
         np.clip(refined, 1e-4, 1 - 1e-4, out=refined)
+
+    a, b = 0, BLOCK
+    live = np.arange(texts)
+    while len(live := live[sizes[live] > a]):
+        ends = np.cumsum(np.minimum(sizes[live], b) - a)
+        i = done = 0
+        while i < len(live):  # whole texts at a time, of about PART tokens
+            j = max(i + 1, int(np.searchsorted(ends, done + PART, "right")))
+            some, i, done = live[i:j], j, int(ends[j - 1])
+            block(some, a, b)
         a, b = b, 2 * b
     return total / np.log(10), leaf
 

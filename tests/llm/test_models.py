@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,21 @@ def test_lm_score_equals_brute_force(spark, monkeypatch):
         assert got[i].score == pytest.approx(want[i], rel=1e-4), i
 
 
+def test_every_bit_of_a_word_is_mixed_with_the_word_before():
+    words = [b"w%d" % i for i in range(1024)]
+    code = context_mixing.Code(words, [1] * 1024, 1)
+    last = {code.nodes[code.starts[i + 1] - 1]: i for i in range(100, 1024)}
+    zero, one, node = next((i, last[k], k) for i in range(100, 1024) if last[k := code.nodes[code.starts[i + 1] - 1]] != i)
+    if code.bits[code.starts[zero + 1] - 1]:
+        zero, one = one, zero
+    tables = context_mixing.Tables(code, 16)
+    w = context_mixing.Words(pa.array([f"w0 w{zero}", f"w0 w{one}"]))
+    before = context_mixing.contexts(code, w)[1][1:2]
+    tables.before[context_mixing._slots(before, context_mixing._hash(np.array([node], np.uint32), 1), 16)] = context_mixing._logits(np.zeros(1), np.full(1, 1000.0))
+    low, high = context_mixing.mix(code, tables, w)[0]
+    assert high > low + 0.5
+
+
 def test_spelling_is_a_probability():
     tables = [context_mixing._logits(np.arange(1 << b) % 3, np.arange(1 << b) % 5) for b in context_mixing.SPELL_BITS]
     one = 10 ** context_mixing.spell(tables, [bytes([b]) for b in range(256)])
