@@ -11,12 +11,12 @@ verified by exact containment of the shingles' texts.
 
 Only DataFrame functions are used. Hashes stay arrays within their row; those that pass a
 Bloom filter of the sketches, of a fixed size, leave it to be joined with the sketches. The
-more sketches there are, the more hashes pass it in vain; the result is the same.
+more sketches there are, the more hashes pass it in vain; the result is the same. The filter
+is one broadcast row, not a literal: the driver keeps each plan as text, with its literals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Slots of the filter of sketch hashes, a byte each, which travels with the plan; places that a
-#: hash takes in it.
+#: Slots of the filter of sketch hashes, a bit each, in longs; places that a hash takes in it.
 FILTER_SLOTS, PROBES = 1 << 18, (0, 15, 30, 45)
 
 
@@ -55,15 +54,33 @@ def sketches(items: DataFrame, width: int, threshold: float, id_col: str = "item
     return sized.select("item_id", "size", "shingles", F.slice(F.array_sort("h"), F.lit(1), F.col("size") - needed + 1).alias("sketch"))
 
 
-def _passes(sketched: DataFrame) -> Callable[[Column], Column]:
+def _at(h: Column, k: int) -> Column:
+    return F.shiftrightunsigned(h, k).bitwiseAND(F.lit(FILTER_SLOTS - 1)).cast("int")
+
+
+def _filter(sketched: DataFrame) -> DataFrame:
+    """held: the filter's longs, as one row."""
+    places = sketched.select(F.explode("sketch").alias("h")).select(F.explode(F.array(*(_at(F.col("h"), k) for k in PROBES))).alias("at")).distinct()
+    longs = places.groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)))).alias("x"))
+    every = sketched.sparkSession.range(max(1, FILTER_SLOTS >> 6)).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("x"))
+    filled = every.unionByName(longs).groupBy("i").agg(F.bit_or("x").alias("x"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("held"))
+
+
+def _passes(h: Column) -> Column:
     """Whether a hash may be one of the sketches: false only if it is none."""
-    at = lambda h, k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(FILTER_SLOTS - 1)).cast("int")
-    places = sketched.select(F.explode("sketch").alias("h")).select(F.explode(F.array(*(at(F.col("h"), k) for k in PROBES))).alias("at"))
-    slots = bytearray(FILTER_SLOTS)
-    for r in places.distinct().collect():  # FILTER_SLOTS at the most
-        slots[r["at"]] = 1
-    held, one = F.lit(bytes(slots)), F.lit(b"\x01")
-    return lambda h: reduce(lambda x, y: x & y, (F.substring(held, at(h, k) + 1, F.lit(1)) == one for k in PROBES))
+    bit = lambda at: F.getbit(F.get("held", F.shiftright(at, 6)), at.bitwiseAND(F.lit(63)))
+    return reduce(lambda x, y: x & y, (bit(_at(h, k)) == 1 for k in PROBES))
+
+
+def candidates(docs: DataFrame, sketched: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, w (words), met (hashes that pass the filter) of documents with such hashes."""
+    # the row number also keeps the optimiser from moving the words into the lambdas below,
+    # where they would be split again for every shingle
+    base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"), F.monotonically_increasing_id().alias("row"))
+    met = F.filter(shingle_hashes(F.col("w"), width), _passes)
+    held = base.crossJoin(F.broadcast(_filter(sketched)))
+    return held.select("doc_id", "row", "w", F.array_distinct(met).alias("met")).where(F.size("met") > 0)
 
 
 def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -75,11 +92,7 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: floa
     a null doc_id is kept as it is. Without items the result is empty. Other columns are
     not read."""
     sketched = materialise(sketches(items, width, threshold, item_id_col, item_text_col), "sketches")
-    # the row number also keeps the optimiser from moving the words into the lambdas below,
-    # where they would be split again for every shingle
-    base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"), F.monotonically_increasing_id().alias("row"))
-    met = F.filter(shingle_hashes(F.col("w"), width), _passes(sketched))
-    rows = materialise(base.select("doc_id", "row", "w", F.array_distinct(met).alias("met")).where(F.size("met") > 0), "candidates")
+    rows = materialise(candidates(docs, sketched, width, id_col, text_col), "candidates")
     # pairs to verify: ids only, then the texts of both sides
     by_hash = sketched.withColumn("item", F.monotonically_increasing_id())
     by_hash = materialise(by_hash, "items")

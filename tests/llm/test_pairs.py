@@ -189,3 +189,16 @@ def test_containment_equals_brute_force(spark, literal, monkeypatch):
                 want.append((i, j, len(g & grams(t)), len(g)))
     assert got == sorted(want, key=str) and len(got) > 20
     assert decontaminate.contained(d, b.limit(0)).count() == 0 and decontaminate.contained(d.limit(0), b).count() == 0
+
+
+def test_plans_do_not_hold_the_filter(spark):
+    d = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(9)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(f"w3x{k}" for k in range(12)))], "item_id long, text string")
+    kept = []
+    make = decontaminate.materialise
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontaminate, "materialise", lambda df, name: kept.append(df) or make(df, name))
+        got = decontaminate.contained(d, b).collect()
+    assert [(r.doc_id, r.item_id, r.containment) for r in got] == [(3, 1, 1.0)]
+    assert len(kept) == 3
+    assert max(len(df._jdf.queryExecution().toString()) for df in kept) < 100_000

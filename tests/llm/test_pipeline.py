@@ -1,6 +1,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql.classic.dataframe import DataFrame
+
 from lakewarden.llm import shingle_pairs, simhash
 
 from test_pairs import classes_brute, fp_brute, grams
@@ -151,3 +154,20 @@ def test_stages_do_not_shuffle_texts(spark, tmp_path):
     for stage in (corpus_pipeline.near_dedup_stage, corpus_pipeline.decontamination_stage):
         plan = stage(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan, stage.__name__
+
+
+def test_frequent_shingles_reach_the_driver_in_few_rows(spark, monkeypatch):
+    texts = [" ".join(f"w{k}" for k in range(a, a + 400)) for a in range(0, 60, 10)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "row long, text string")
+    held = {}
+    for t in texts:
+        for h in np.unique(simhash.shingle_hashes(t.encode(), 5)).tolist():
+            held[h] = held.get(h, 0) + 1
+    rows, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: rows.extend(got := collect(df)) or got)
+    most = sorted(h for h, n in held.items() if n >= 3)
+    assert shingle_pairs._frequent(docs, 5).tolist() == most and len(most) > 300
+    assert len(rows) < 10
+    monkeypatch.setattr(shingle_pairs, "FREQUENT", 7)
+    few = sorted(held, key=lambda h: (-held[h], h - (h >> 63 << 64)))[:7]
+    assert shingle_pairs._frequent(docs, 5).tolist() == sorted(few)
