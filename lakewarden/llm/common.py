@@ -112,6 +112,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a worker keeps from task to task, of any operator.
+CACHES: list[dict] = []
+
+
+def forget() -> None:
+    """Drop what a worker still keeps for other operators, for one that needs its memory."""
+    for cache in CACHES:
+        cache.clear()
+
+
 def give_back() -> None:
     """Return freed memory of a worker to the machine: workers outlive their tasks, and what
     one task no longer needs must not stand in the way of the next."""

@@ -97,7 +97,7 @@ def write_token_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int,
             return pa.RecordBatch.from_pydict({"segment": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for a, n in slices(batch.column(1), 4 << 20):
+            for a, n in slices(batch.column(1), 6 << 20):
                 ids, bounds = words.encode(batch.column(1).slice(a, n), end_id)
                 keys += batch.column(0).slice(a, n).to_pylist()
                 held.append(ids)

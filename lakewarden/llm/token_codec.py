@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import CACHES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words that a worker remembers; then it starts anew.
+#: Words that a worker remembers; beyond that it keeps those of the texts at hand that it knew.
 CACHE_WORDS = 400_000
 #: Put before a word that a newline precedes, before the first word of a text, and before
 #: signs that close a word (they are pre-tokens of their own after a letter that no file
@@ -31,6 +33,7 @@ _CLOSED = r"([A-Za-zÀ-ÖØ-öø-\x{12f}\x{131}-\x{17f}\x{3b1}-\x{3c9}\x{400}-\x
 _ODD = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x00\x01\x02\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 _codecs: dict[str, "WordCodec"] = {}
+CACHES.append(_codecs)
 
 
 class WordCodec:
@@ -58,6 +61,14 @@ class WordCodec:
         self.flat = np.zeros(1 << 20, self.dtype)
         self.starts = np.zeros((1 << 18) + 1, np.int64)  # of each word's ids, and the end of the last
 
+    def _keep(self, words: list[str], number: np.ndarray) -> None:
+        """Forget all words but these, which are numbered anew in this order."""
+        flat, starts = self.flat, self.starts
+        first, sizes = starts.take(number), np.diff(starts).take(number)
+        self._forget()
+        done = np.cumsum(sizes) - sizes
+        self._add(words, flat.take(np.repeat(first - done, sizes) + np.arange(int(sizes.sum()))), sizes)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -134,26 +145,42 @@ class WordCodec:
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.index) > CACHE_WORDS:
-            self._forget()
         number = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(self.index) > CACHE_WORDS:
+            met = np.flatnonzero(number >= 0)
+            self._keep([distinct[i] for i in met.tolist()], number[met])
+            number[met] = np.arange(len(met))
         missing = np.flatnonzero(number < 0).tolist()
         if missing:
             new = [distinct[i] for i in missing]
             self._learn(new)
             number[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-        number = number[coded.indices.to_numpy()]
-        starts = self.starts[number]
-        sizes = self.starts[number + 1] - starts
+        number = number.take(coded.indices.to_numpy())
         cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ends = int(end is not None and not len(odd))  # put in place with the words, or after odd texts are
+        starts = self.starts.take(number)
+        sizes = np.diff(self.starts).take(number)
         done = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(starts - done[:-1], sizes) + np.arange(done[-1])]
-        bounds = done[cuts]
+        bounds = done.take(cuts)
+        if ends:
+            # each text's words stand by the texts before it further on
+            done[:-1] += np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        at = np.repeat(starts - done[:-1], sizes)
+        if ends:
+            bounds = bounds + np.arange(len(bounds))
+            ids = np.full(bounds[-1], end, self.dtype)
+            own = np.ones(len(ids), bool)
+            own[bounds[1:] - 1] = False
+            at += np.flatnonzero(own)
+            ids[own] = self.flat.take(at)
+            return ids, bounds
+        at += np.arange(len(at))
+        ids = self.flat.take(at)
         if len(odd):
-            own = np.split(ids, bounds[1:-1])
+            parts = np.split(ids, bounds[1:-1])
             for i, data in zip(odd.tolist(), self._ids([texts[int(i)].as_py() for i in odd]), strict=True):
-                own[i] = data
-            ids, bounds = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+                parts[i] = data
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         if end is not None:
             ids = np.insert(ids, bounds[1:], self.dtype.type(end))
             bounds = bounds + np.arange(len(bounds))

@@ -149,3 +149,21 @@ def test_sum_of_squares_is_near_the_bound():
     bins, offsets = packing.sum_of_squares(x, 1000)
     assert np.bincount(bins, x).max() <= 1000
     assert bins.max() + 1 <= 1.03 * np.ceil(x.sum() / 1000)
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_full_cache_keeps_the_words_at_hand(file, monkeypatch):
+    monkeypatch.setattr(token_codec, "CACHE_WORDS", 5)
+    c = token_codec.WordCodec(public_tokenizers.path(file))
+    learned, learn = [], c._learn
+    monkeypatch.setattr(c, "_learn", lambda new: learned.extend(new) or learn(new))
+    for texts in (["one two three\nfour, five", "six seven eight nine"], ["nine eight  odd ", "", "five two eleven four"], ["eleven one\nnine, two", "ten"]):
+        own = [c.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        for end in (None, 2):
+            ids, bounds = c.encode(pa.array(texts), end)
+            ends = [] if end is None else [end]
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [x + ends for x in own]
+    first = len(learned)
+    for _ in range(2):
+        c.encode(pa.array(["eleven one\nnine, two", "ten"]), 2)
+    assert len(learned) == first
