@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, materialise
+from .common import CACHES, mapped, materialise
 from .decontaminate import shingle_hashes, words
 from .labelled import sample
 
@@ -221,6 +221,7 @@ class Matcher:
 
 
 _matchers: dict[tuple, Matcher] = {}
+CACHES.append(_matchers)
 
 
 def matcher_of(entries: list[tuple[str, bool]], friends: frozenset[str] = frozenset()) -> Matcher:

@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql.classic.dataframe import DataFrame
 
-from lakewarden.llm import shingle_pairs, simhash
+from lakewarden.llm import shingle_pairs, simhash, token_codec, toxicity
 
 from test_pairs import classes_brute, fp_brute, grams
 
@@ -163,11 +163,17 @@ def test_frequent_shingles_reach_the_driver_in_few_rows(spark, monkeypatch):
     for t in texts:
         for h in np.unique(simhash.shingle_hashes(t.encode(), 5)).tolist():
             held[h] = held.get(h, 0) + 1
-    rows, collect = [], DataFrame.collect
-    monkeypatch.setattr(DataFrame, "collect", lambda df: rows.extend(got := collect(df)) or got)
+    rows, plans, collect = [], [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or rows.extend(got := collect(df)) or got)
     most = sorted(h for h, n in held.items() if n >= 3)
     assert shingle_pairs._frequent(docs, 5).tolist() == most and len(most) > 300
-    assert len(rows) < 10
+    assert len(rows) < 10 and "HashAggregate" not in plans[-1]  # nor does a shuffle hold a row a shingle
     monkeypatch.setattr(shingle_pairs, "FREQUENT", 7)
     few = sorted(held, key=lambda h: (-held[h], h - (h >> 63 << 64)))[:7]
     assert shingle_pairs._frequent(docs, 5).tolist() == sorted(few)
+
+
+def test_near_dedup_drops_what_workers_keep_for_others():
+    token_codec._codecs["some"] = toxicity._matchers[()] = object()
+    list(shingle_pairs._sliced(iter([])))
+    assert not token_codec._codecs and not toxicity._matchers
