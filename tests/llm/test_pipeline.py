@@ -177,3 +177,12 @@ def test_near_dedup_drops_what_workers_keep_for_others():
     token_codec._codecs["some"] = toxicity._matchers[()] = object()
     list(shingle_pairs._sliced(iter([])))
     assert not token_codec._codecs and not toxicity._matchers
+
+
+def test_decontamination_runs_no_python_on_executors(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(9)] + [(None, None)], "doc_id long, text string")
+    spark.createDataFrame([(1, " ".join(f"w3x{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(i) for i in [*range(3), *range(4, 9), None])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
