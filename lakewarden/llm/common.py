@@ -70,9 +70,9 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def picked(df: DataFrame, rows: DataFrame, keep: bool = True) -> DataFrame:
+def picked(df: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of df whose ``row`` (a number of monotonically_increasing_id) is among those of
-    ``rows``, or is not. A bit a row goes to all tasks, so df itself is not shuffled."""
+    ``rows``. A bit a row goes to all tasks, so df itself is not shuffled."""
 
     def pack(found: pa.Table) -> pa.Table:
         bits = np.zeros(1 << 16, np.uint8)
@@ -95,8 +95,7 @@ def picked(df: DataFrame, rows: DataFrame, keep: bool = True) -> DataFrame:
             out[own] = np.unpackbits(data)[bit[own]]
         return pd.Series(out)
 
-    inside = F.pandas_udf(among, "boolean")("row")
-    return df.where(inside if keep else ~inside)
+    return df.where(F.pandas_udf(among, "boolean")("row"))
 
 
 def crc_mod(doc_id: Column, k: int) -> Column:
