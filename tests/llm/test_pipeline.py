@@ -186,3 +186,29 @@ def test_decontamination_runs_no_python_on_executors(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(i) for i in [*range(3), *range(4, 9), None])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_last_pairing_does_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for edits in [2] * 110 + [1] * 10:  # two of two edits each are beyond the threshold, one of one edit is near to all
+        copy = list(base)
+        for k in range(edits):
+            copy[r.randrange(5 + 70 * k, 70 + 70 * k)] = f"e{r.randrange(10**6)}"
+        texts.append(copy)
+    r.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(146)} for w in texts]
+    reach = [(i, j) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "row long, text string")
+    seen = []
+    ordered = shingle_pairs._ordered
+    monkeypatch.setattr(shingle_pairs, "_ordered", lambda met: seen.append((met.count(), met.select("a", "b").distinct().count())) or ordered(met))
+    groups = lambda pairs: sorted(sorted(c) for c in _classes(pairs, len(texts)))
+    found = [(x.a, x.b) for x in shingle_pairs.similar(docs, 5, 0.8).collect()]
+    assert groups(found) == groups(reach)
+    assert seen[-1][0] < len(texts), seen
+    monkeypatch.setattr(shingle_pairs, "STARS", ())  # all is left to the last pairing: every pair once, none lost
+    found = {(x.a, x.b) for x in shingle_pairs.similar(docs, 5, 0.8).collect()}
+    assert found == {(j, i) for i, j in reach}
+    assert len(reach) > 1000 and seen[-1][0] < 1.1 * seen[-1][1], seen
