@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,61 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shared import CLEANUP, discard, materialise, scratch, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
-    cluster names one, else, in local mode only, a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="lakewarden-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder. What is written there survives executors;
-    the cluster clears the folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-#: Whether Spark deletes the shuffle files of an execution at its end, not when the driver's
-#: garbage collector comes by.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read again: cuts the lineage. What was shuffled
-    for it is deleted, since nothing reads it again."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    written = spark.read.schema(df.schema).parquet(path)
-    written._scratch = path
-    return written
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for these, once nothing will read it again."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def picked(df: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of df whose ``row`` (a number of monotonically_increasing_id) is among those of
     ``rows``. A bit a row goes to all tasks, so df itself is not shuffled."""

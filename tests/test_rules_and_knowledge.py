@@ -136,6 +136,36 @@ def test_embedding_equals_hashlib(spark):
     assert knowledge.token_hash("x") == int.from_bytes(hashlib.blake2b(b"x", digest_size=8).digest(), "big")
 
 
+@pytest.mark.parametrize("held", [0, 3, 1000])
+def test_embedding_by_held_and_joined_tokens(spark, held):
+    texts = {1: "One two two 数据库 one_2", 2: "two 数 42 two", 3: "Ünï 3x three 据库据库", None: "two four", 7: "one"}
+    df = spark.createDataFrame([*texts.items(), (4, None), (5, "!"), (7, "four one")], "doc_id long, text string")
+    idf = knowledge.build_idf(df, "text")
+    weights = {r.token: r.idf for r in idf.collect()}
+    rows = knowledge.embed_chunks(df, idf, "doc_id", "text", 16, held).collect()
+    assert sorted(map(str, (r.doc_id for r in rows))) == ["1", "2", "3", "7", "None"]
+    for r in rows:
+        text = texts[r.doc_id] + (" four one" if r.doc_id == 7 else "")
+        assert r.vector == pytest.approx(knowledge.embed(text, weights, 16))
+    plain = knowledge.embed_chunks(df, None, "doc_id", "text", 16, held).where("doc_id in (3, 7)").collect()
+    for r in plain:
+        assert r.vector == pytest.approx(knowledge.embed("one four one" if r.doc_id == 7 else texts[3], None, 16))
+
+
+@pytest.mark.parametrize("held", [0, 1000])
+def test_tokens_that_cancel_give_zeros(spark, held):
+    a, b = next((f"a{i}", f"b{j}") for i in range(99) for j in range(99) if (x := knowledge.token_hash(f"a{i}")) % 4 == (y := knowledge.token_hash(f"b{j}")) % 4 and (x // 4 + y // 4) % 2)
+    df = spark.createDataFrame([("x", f"{a} {b}")], "chunk_id string, content string")
+    assert [r.vector for r in knowledge.embed_chunks(df, knowledge.build_idf(df), dim=4, held=held).collect()] == [[0.0] * 4]
+
+
+def test_vectors_are_not_looked_up_place_by_place(spark):
+    df = spark.createDataFrame([("a", "one two")], "chunk_id string, content string")
+    for held in ({}, {"held": 0}):
+        plan = knowledge.embed_chunks(df, knowledge.build_idf(df), **held)._jdf.queryExecution().toString()
+        assert "element_at" not in plan and "sequence" not in plan
+
+
 def test_clamps_and_stats(spark):
     assert [retrieval.clamp_k(k) for k in (None, 0, 3, 99)] == [5, 1, 3, 20]
     df = spark.createDataFrame([("a", float(i)) for i in range(6)], "g string, v double")
