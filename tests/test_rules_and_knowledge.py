@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,29 @@ def test_vectors_are_not_looked_up_place_by_place(spark):
         assert "element_at" not in plan and "sequence" not in plan
 
 
+@pytest.mark.parametrize("held", [0, 2, 5, 1000])
+def test_top_terms_by_held_and_joined_tokens(spark, held):
+    rnd, words = random.Random(held), [f"w{i}" for i in range(40)] + ["Ab", "aB", "7"]
+    texts = [(i, " ".join(rnd.choices(words, [1 / (j + 1) for j in range(43)], k=rnd.choice([0, 1, 3, 30, 200])))) for i in range(60)]
+    texts += [(None, "w1 w2 w2 ünï 数据"), (None, "w1 w39"), (5, "w2 w40 only"), (99, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    idf = {r.token: r.idf for r in knowledge.build_idf(df, "text").collect()}
+    counts = {}
+    for i, x in texts:
+        for t in re.findall("[a-z_][a-z0-9_]*|[0-9]+", (x or "").lower()):
+            counts.setdefault(i, {}).setdefault(t, 0)
+            counts[i][t] += 1
+    want = {(i, n + 1, t, -w) for i, c in counts.items() for n, (w, t) in enumerate(sorted((-round(n * idf[t], 3), t) for t, n in c.items())[:3])}
+    got = knowledge.tfidf_top(df, "doc_id", "text", 3, held).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_top_terms_shuffle_few_rows(spark):
+    df = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 200), i -> concat('w', i))) AS text")
+    top = knowledge.tfidf_top(df, "doc_id", "text", 3)
+    assert top.count() == 900 and "(explode" not in (plan := top._jdf.queryExecution().toString()) and "explode(" not in plan
+
+
 def test_clamps_and_stats(spark):
     assert [retrieval.clamp_k(k) for k in (None, 0, 3, 99)] == [5, 1, 3, 20]
     df = spark.createDataFrame([("a", float(i)) for i in range(6)], "g string, v double")
